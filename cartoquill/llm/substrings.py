@@ -88,7 +88,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         schema = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("local", pa.binary())])
         for ids, texts in units(batches):
             h, place = distinct_windows(texts, width)
-            again = repeated(place, h)
+            again = repeated(ids[place], h)
             bucket = ((h >> C.U64(32)) * C.U64(n) >> C.U64(32)).astype(np.int64)
             unit = int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
             held, rows = pack_hashes(ids.view(C.U64)), []
