@@ -68,13 +68,14 @@ def roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
-def forest(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, side: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges (larger, smaller rep) that span the same components as all links within the groups (ascending).
+def forest(fp: np.ndarray, group: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (larger, smaller fingerprint) that span the same components as all links within the groups; rows ascend by group and fingerprint.
 
     side: 0 and 1 for the two halves of a tile between which links count, 2 where all do. Pairs are compared at growing
     places apart; the pivot table discards by the maximum coordinate difference, what is left is verified.
     """
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    bits = fp.view(np.uint64)
+    table = np.bitwise_count(bits[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     parent = np.arange(len(fp))
     left = np.searchsorted(group, group, side="right") - np.arange(len(fp)) - 1
     at = np.flatnonzero(left > 0)
@@ -90,7 +91,7 @@ def forest(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, side: np.ndarray,
             i, j = i[near], j[near]
             if len(i) < 64:
                 break
-        near = np.bitwise_count(fp[i] ^ fp[j]) <= distance
+        near = np.bitwise_count(bits[i] ^ bits[j]) <= distance
         i, j = i[near], j[near]
         new = parent[i] != parent[j]
         for a, b in zip(i[new].tolist(), j[new].tolist(), strict=True):
@@ -99,34 +100,34 @@ def forest(fp: np.ndarray, rep: np.ndarray, group: np.ndarray, side: np.ndarray,
             while parent[b] != b:
                 b = parent[b]
             if a != b:
-                low, high = (a, b) if rep[a] <= rep[b] else (b, a)
-                parent[high] = low
+                parent[max(a, b)] = min(a, b)
         if new.any():
             parent = roots(parent)
-    return [(int(rep[k]), int(rep[r])) for k, r in enumerate(parent.tolist()) if r != k]
+    child = np.flatnonzero(parent != np.arange(len(fp)))
+    return fp[child], fp[parent[child]]
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (child, root) between representatives: in each block and tile a spanning forest of the links. distinct: fp, rep."""
+    """Edges (child, root) between different fingerprints: in each block and tile a spanning forest of the links. distinct: fp."""
     spark = C.session(distinct)
     n = C.deal(spark)
-    keys = distinct.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for k, m in enumerate(masks(distance))])).alias("b")).select("fp", "rep", "b.k", "b.key")
+    keys = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for k, m in enumerate(masks(distance))])).alias("b")).select("fp", "b.k", "b.key")
     large = C.stage(keys.groupBy("k", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(3)), F.col("t")).cast("int")
     dealt = keys.join(large, ["k", "key"], "left").withColumn("t", F.coalesce(tiles, F.lit(1))).withColumn("own", own)
-    dealt = dealt.select("fp", "rep", "k", "key", "own", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other"))
-    dealt = dealt.select("fp", "rep", F.xxhash64("k", "key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("int").alias("side"))
+    dealt = dealt.select("fp", "k", "key", "own", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other"))
+    dealt = dealt.select("fp", F.xxhash64("k", "key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("int").alias("side"))
 
     def compare(table: pa.Table) -> pa.Table:
-        fp, rep, block, side = (table.column(c).to_numpy() for c in ("fp", "rep", "block", "side"))
+        fp, block, side = (table.column(c).to_numpy() for c in ("fp", "block", "side"))
         order = np.lexsort((fp, block))
         block = block[order]
         run = np.diff(np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))))
         several = np.repeat(run, run) > 1
         order = order[several]
-        edges = forest(fp[order].view(np.uint64), rep[order], block[several], side[order], distance)
-        return pa.table({"child": pa.array([a for a, _ in edges], pa.int64()), "root": pa.array([b for _, b in edges], pa.int64())})
+        child, root = forest(fp[order], block[several], side[order], distance)
+        return pa.table({"child": pa.array(child, pa.int64()), "root": pa.array(root, pa.int64())})
 
     return dealt.withColumn("bucket", F.pmod("block", F.lit(n)).cast("int")).groupBy("bucket").applyInArrow(compare, "child long, root long")
 
@@ -161,7 +162,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     """
     C.session(docs)
     fps = C.stage(fingerprints(docs, shingle, id_col, text_col))
-    distinct = C.stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    settled = components(links(distinct.where("rep is not null"), distance))
-    found = distinct.join(settled, distinct["rep"] == settled["child"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(C.stage(found), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = C.stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    settled = C.stage(components(links(distinct.select("fp"), distance)))
+    members = settled.select(F.col("child").alias("fp"), "root").unionByName(settled.select(F.col("root").alias("fp"), "root").distinct())
+    smallest = C.stage(members.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = C.stage(members.join(smallest, "root").select("fp", "component_id"))
+    found = C.stage(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    return fps.join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
