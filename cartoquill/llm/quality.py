@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-FEATURES = ("words", "word_length", "upper", "digits", "marks", "symbols", "stops", "wide", "breaks", "distinct", "stutter", "grams", "top", "long_words", "line_copies", "doubled")
+FEATURES = ("word_length", "upper", "digits", "marks", "symbols", "stops", "wide", "breaks", "distinct", "stutter", "grams", "top", "long_words", "line_copies", "doubled")
 #: Weight of the pooled diagonal in each class covariance, and what is added to each variance (features are standardised).
 SHRINK, RIDGE = 0.1, 1e-3
 
@@ -29,7 +29,7 @@ _CLASS[7, 97:123] = True
 
 
 def statistics(text: bytes) -> list[float]:
-    """The transformed statistics of one text: logarithms of counts, square roots of shares."""
+    """The transformed statistics of one text: logarithms of ratios, and square roots of shares that lean to usual ones where the text is short."""
     n = len(text)
     if not n:
         return [0.0] * len(FEATURES)
@@ -38,19 +38,16 @@ def statistics(text: bytes) -> list[float]:
     m = len(h)
     if not m:
         return [0.0] * len(FEATURES)
-    letters = max(1, int(count[0] + count[7] + count[5]))
     ordered = np.sort(h)
     new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     times = np.diff(np.append(np.flatnonzero(new), m))
     grams = np.sort(C.window_hashes(h, 3))
-    repeats = float((grams[1:] == grams[:-1]).mean()) if len(grams) > 1 else 0.0
     lines = [x for x in text.split(b"\n") if x]
-    adjacent = float((h[1:] == h[:-1]).mean()) if m > 1 else 0.0
-    alternate = float((h[2:] == h[:-2]).mean()) if m > 2 else 0.0
-    root = np.sqrt
+    share = lambda x, of, usual=0.0, weight=40: float(np.sqrt((max(0, x) + usual * weight) / (of + weight)))
+    same = lambda x, y: int((x == y).sum())
     return [
-        float(np.log1p(m)), float(np.log1p((n - m + 1) / m)), float(root(count[0] / letters)), float(root(count[1] / n)), float(root(count[2] / n)), float(root(count[3] / n)), float(root(count[4] / n)), float(root(count[5] / n)), float(root(count[6] / n)),
-        float(np.log(new.sum() / m) + 0.1 * np.log(m)), float(root(adjacent)), float(root(repeats)), float(root(times.max() / m)), float(root(max(0, n - 16 * m) / n)), float(root(1 - len(set(lines)) / max(1, len(lines)))), float(root(alternate)),
+        float(np.log1p((n - m + 31) / (m + 6))), share(count[0], count[0] + count[7] + count[5], 0.03), share(count[1], n), share(count[2], n), share(count[3], n), share(count[4], n, 0.03), share(count[5], n, 0.01), share(count[6], n, 0.005),
+        float(np.log((new.sum() + 10) / (m + 10)) + 0.1 * np.log(m + 10)), share(same(h[1:], h[:-1]), m), share(same(grams[1:], grams[:-1]), m), share(times.max() - 1, m, 0.05), share(n - 16 * m, n), share(len(lines) - len(set(lines)), len(lines), weight=3), share(same(h[2:], h[:-2]), m),
     ]
 
 
