@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,9 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     """A dictionary from serialized id arrays of a bounded sample; empty if there is too little to train on."""
     import zstandard
 
-    rows = C.texts_of(docs, id_col, text_col).where(F.octet_length("text").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
+    texts = C.texts_of(docs, id_col, text_col).where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    ids = [r["doc_id"] for r in texts.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    rows = texts.where(F.col("doc_id").isin(ids)).orderBy("doc_id", "text").limit(SAMPLE_DOCS).collect() if ids else []
     kind = f"<u{width_of(tokenizer_path)}"
     samples = [x.tobytes() for x in encode(tokenizer_path, [r["text"] for r in rows], kind)] if rows else []
     if sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
@@ -49,10 +52,8 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
 
 def encode(path: str, texts: list[str], kind: str) -> list[np.ndarray]:
-    m = tokens.memo(path, kind)
-    cuts = [list(tokens.cut(t)) for t in texts]
-    known = m.put({s for text in cuts for part in text for s in part}, lambda e: np.array(e.ids, kind).tobytes())
-    return [np.frombuffer(b"".join(b"".join(map(known.__getitem__, part)) for part in text), kind) for text in cuts]
+    m = tokens.memo(path, kind, lambda ids: array("H" if kind == "<u2" else "I", ids).tobytes())
+    return [np.frombuffer(b"".join(x), kind) for x in (m.sums(texts) if m.plain else zip(m.encode(texts), strict=True))]
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes | None = None) -> list[tuple[int, int, int]]:

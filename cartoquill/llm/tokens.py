@@ -14,65 +14,118 @@ from . import common as C
 #: A cut before a single space is safe if something other than white space follows: the byte-level pattern joins such
 #: a space to what follows it, its other white-space branches end before it, and no special token holds a space.
 SAFE = re.compile(r" (?=\S)")
-CACHE = 300_000
-_made: dict[str, "Memo"] = {}
+_OTHER = re.compile(r"[^\S \n]")
+#: Punctuation that ends a word of letters parts from it before merging; apostrophes and what special tokens hold are left out.
+TAIL = ".,!%&*#$?;:"
+#: Letters below this are letters in every version of Unicode.
+_LATIN = "\u0250"
+CACHE, SLICE = 400_000, 200_000
+_made: dict[object, object] = {}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level models have for each byte: its own where it has one, the next free from 256 on else."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
 
 
 class Memo:
-    """Encodes segments between safe cuts by the library, each once while it is remembered.
+    """Encodes the segments between safe cuts by the library, each once while it is remembered.
 
-    Two generations of at most CACHE segments bound the memory."""
+    make turns ids into what is kept, which must add up. Words of letters go to the library's merging model itself, as one
+    pre-token; all others through its whole pipeline. Two generations of at most CACHE words bound the memory."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, make):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.make, self.model = make, self.library.model
+        self.letters = _byte_letters()
+        self.plain = _is_byte_level(path)
         self.new: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.tails: dict[str, object] = {}
         self.long: list[str] = []  # too long to remember beyond one call
 
-    def put(self, segments: set[str], value) -> dict[str, object]:
-        """Makes sure that self.new has all segments; value makes what is kept from an encoding."""
-        for s in self.long:
-            self.new.pop(s, None)
+    def encode(self, texts: list[str]) -> list:
+        return [self.make(e.ids) for at in range(0, len(texts), 4096) for e in self.library.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+
+    def one(self, pre_token: str):
+        """What is kept of a pre-token."""
+        return self.make([t.id for t in self.model.tokenize(pre_token if pre_token.isascii() and pre_token[0] != " " else pre_token.encode().decode("latin-1").translate(self.letters))])
+
+    def learn(self, words: set[str]) -> dict[str, object]:
+        """A dictionary that has all the words: of each, what is kept of it behind a space."""
+        for w in self.long:
+            self.new.pop(w, None)
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = [s for s in segments if s not in new]
-        if old:
-            fresh = []
-            for s in missing:
-                if (v := old.get(s)) is None:
-                    fresh.append(s)
-                else:
-                    new[s] = v
-            missing = fresh
-        self.long = [s for s in missing if len(s) > 100]
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            new.update(zip(some, map(value, self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        new, old, tails, slow = self.new, self.old, self.tails, []
+        missing = words.difference(new)
+        for w in missing:
+            if (v := old.get(w)) is not None:
+                new[w] = v
+                continue
+            stem = w.rstrip(TAIL)
+            if not (self.plain and stem.isalpha() and max(stem) < _LATIN):
+                slow.append(w)
+                continue
+            v = new.get(stem)
+            if v is None:
+                v = new[stem] = self.one(" " + stem)
+            if len(stem) < len(w):
+                tail = w[len(stem) :]
+                t = tails.get(tail)
+                if t is None:
+                    t = self.one(tail)
+                    if len(tail) < 16:
+                        tails[tail] = t
+                new[w] = v + t
+        new.update(zip(slow, self.encode([" " + w for w in slow]), strict=True))
+        self.long = [w for w in missing if len(w) > 100]
         return new
 
-
-def memo(path: str, kind: str) -> Memo:
+    def sums(self, texts: list[str]) -> list[list]:
+        """Of each text, what is kept of its segments, in order."""
+        parts = [split(t) for t in texts]
+        out = [[v] for v in self.encode([p[0] for p in parts])]
+        for a, b in C.parts([len(p) for p in parts], SLICE):
+            if b - a > 1 or len(parts[a]) <= SLICE:
+                known = self.learn(set().union(*[p[1:] for p in parts[a:b]]))
+                for k in range(a, b):
+                    out[k] += map(known.__getitem__, parts[k][1:])
+            else:
+                for at in range(1, len(parts[a]), SLICE):
+                    some = parts[a][at : at + SLICE]
+                    out[a] += map(self.learn(set(some)).__getitem__, some)
+        return out
+
+
+def _is_byte_level(path: str) -> bool:
+    """Whether segments are merged as bytes behind the pattern that SAFE relies on; if not, texts are encoded whole."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    pre = j.get("pre_tokenizer") or {}
+    return j.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and j["model"].get("type") == "BPE" and not any(j["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in j.get("added_tokens", ()))
+
+
+def memo(path: str, kind: str, make) -> Memo:
     if (path, kind) not in _made:
-        _made[path, kind] = Memo(path)
+        _made[path, kind] = Memo(path, make)
     return _made[path, kind]
 
 
-def cut(text: str, long_bytes: int = 1 << 20) -> Iterator[list[str]]:
-    """Segments of a text between safe cuts, in lists for about long_bytes of text; each but the first begins with its space."""
-    parts = text.split(" ") if "  " not in text and " \n" not in text else None
-    if parts is None or any(not p or p[0].isspace() for p in parts[1:]):
-        parts = SAFE.split(text)
-    first, rest = parts[0], parts[1:]
-    step = max(1, len(parts) * long_bytes // max(1, len(text)))
-    yield [first, *[" " + p for p in rest[: step]]]
-    for at in range(step, len(rest), step):
-        yield [" " + p for p in rest[at : at + step]]
+def split(text: str) -> list[str]:
+    """Segments of a text between safe cuts; all but the first stood behind a space, which is left out."""
+    if "  " in text or " \n" in text or text.endswith(" ") or _OTHER.search(text):
+        return SAFE.split(text)
+    return text.split(" ")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, special: str = "default") -> DataFrame:
@@ -105,9 +158,7 @@ def _lengths(path: str, texts: list[str]) -> list[int]:
 
             _made["sp", path] = sentencepiece.SentencePieceProcessor(model_file=path)
         return [len(x) for x in _made["sp", path].encode(texts, num_threads=1)]
-    m, out = memo(path, "n"), []
-    cuts = [list(cut(t)) for t in texts]
-    known = m.put({s for text in cuts for part in text for s in part}, len)
-    for text in cuts:
-        out.append(sum(sum(map(known.__getitem__, part)) for part in text))
-    return out
+    m = memo(path, "n", len)
+    if not m.plain:
+        return m.encode(texts)
+    return [sum(x) for x in m.sums(texts)]
