@@ -86,8 +86,8 @@ def _bm25_distance(text: str) -> str:
     return f"""fu AS (SELECT query_id, poi_id, 0.6 * (1 - sqrt((q.x - poi.x) ** 2 + (q.y - poi.y) ** 2) / d_norm) + 0.4 * coalesce({text}, 0) AS s FROM q CROSS JOIN poi CROSS JOIN dn LEFT JOIN bm USING (query_id, poi_id) LEFT JOIN (SELECT query_id, greatest(max(t), 0) AS most FROM bm GROUP BY 1) USING (query_id))"""
 
 
-def _best(source: str, k: int, item: str = "poi_id", score: str = "s") -> str:
-    return f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 9) DESC, {item})::INT AS rank, {item}, round({score}, 6) AS score FROM {source} QUALIFY rank <= {k}"
+def _best(source: str, k: int, item: str = "poi_id", score: str = "s", digits: int = 6) -> str:
+    return f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 9) DESC, {item})::INT AS rank, {item}, round({score}, {digits}) AS score FROM {source} QUALIFY rank <= {k}"
 
 
 HARD = f"""{BM25}, {_bm25_distance('t')}, {TRUTH}, rk AS ({_best('fu', 100)}),
@@ -180,7 +180,7 @@ hd AS (SELECT query_id FROM lk GROUP BY 1 HAVING count(*) * 2 >= (SELECT count(*
 cv AS (SELECT query_id, poi_id, count(*) AS n FROM cand JOIN lk USING (query_id) JOIN pb USING (poi_id, bit) GROUP BY ALL)
 SELECT query_id, poi_id, CASE WHEN truth IS NOT NULL AND query_id IN (SELECT query_id FROM hd) AND sqrt((x - tx) ** 2 + (y - ty) ** 2) <= 3000 THEN coalesce(n, 0) ELSE -1 END AS target FROM cand LEFT JOIN ft USING (query_id) LEFT JOIN cv USING (query_id, poi_id)""",
     "bm25_stats": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM st",
-    "bm25_topk": f"WITH {BM25} {_best('bm', 100, score='t')}",
+    "bm25_topk": f"WITH {BM25} {_best('bm', 100, score='t', digits=4)}",
     "bm25_d_topk": f"WITH {BM25}, {_bm25_distance('t / (most + 1e-6)')} {_best('fu', 100)}",
     "hard_negatives": f"WITH {HARD} SELECT * FROM hn",
     "cosine_topk": f"WITH {DENSE} {_best('cs', 100, 'vec_id')}",
