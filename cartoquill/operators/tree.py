@@ -46,27 +46,28 @@ def merged_small(edges: DataFrame, smallest: int = 3, width: int = WIDTH) -> Dat
     return moved.withColumn("child_pos", (F.row_number().over(w) - 1).cast("int")).drop("host", "from_host")
 
 
-def build(poi: DataFrame, poi_bits: DataFrame, width: int = WIDTH, levels: int | None = None, merge_small: bool = False, keep: int = KEEP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(node, tree_edge, node_bit): depth 0 is the top level.
+def build(poi: DataFrame, poi_bits: DataFrame | None, width: int = WIDTH, levels: int | None = None, merge_small: bool = False, keep: int = KEEP) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(node, tree_edge, node_bit): depth 0 is the top level; without bits there are no filters.
 
     Levels are added until the top has at most width**2 nodes (only that many counts are collected), or as many as asked
     for; each is written once. Of a deeper tree only the `keep` levels next to the leaves are kept.
     """
-    level, bits = leaves(poi), poi_bits.select(F.col("poi_id").alias("node_id"), "bit")
+    level, bits = leaves(poi), poi_bits.select(F.col("poi_id").alias("node_id"), "bit") if poi_bits is not None else None
     nodes, edges, filters = [level], [], [bits]
     while (len(edges) < levels) if levels is not None else (len(nodes) < keep and level.count() > width**2):
         e = grouped(level, width)
         e = materialise(merged_small(e, width=width) if merge_small else e)
         up = circled(e.groupBy(F.col("parent_id").alias("node_id")).agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y")))
         level = up.select("node_id", "cx", "cy", "radius", "min_x", "max_x", "min_y", "max_y")
-        bits = bloom.union(bits.join(e.select(F.col("child_id").alias("node_id"), "parent_id"), "node_id").select(F.col("parent_id").alias("node_id"), "bit"), "node_id")
+        if bits is not None:
+            bits = bloom.union(bits.join(e.select(F.col("child_id").alias("node_id"), "parent_id"), "node_id").select(F.col("parent_id").alias("node_id"), "bit"), "node_id")
         nodes.append(level)
         edges.append(e.select("parent_id", "child_pos", "child_id"))
         filters.append(bits)
     top = len(nodes) - 1
     of = lambda parts, shift: _stacked([p.select(F.lit(top - k - shift).alias("depth"), "*") for k, p in enumerate(parts)])
     empty = poi.sparkSession.createDataFrame([], "depth int, parent_id long, child_pos int, child_id long")
-    return of(nodes, 0), of(edges, 1) if edges else empty, of(filters, 0)
+    return of(nodes, 0), of(edges, 1) if edges else empty, of(filters, 0) if bits is not None else None
 
 
 def _stacked(parts: list[DataFrame]) -> DataFrame:

@@ -51,7 +51,14 @@ def _placed(v: DataFrame) -> DataFrame:
     return v.withColumns({"x": ((F.col("vec_id") * 7919) % 10000).cast("double"), "y": ((F.col("vec_id") * 104729) % 10000).cast("double")})
 
 
-def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges)."""
+    node, edges, _ = tree.build(tables.poi(spark, sf), None, levels=DEPTHS - 1)
+    return materialise(node), edges
+
+
+def _filtered_tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, the nodes' bits)."""
     poi = tables.poi(spark, sf)
     node, edges, bits = tree.build(poi, materialise(_bits(poi, "poi_id")), levels=DEPTHS - 1)
     return materialise(node), edges, materialise(bits)
@@ -137,7 +144,7 @@ def thinned_search_quality(spark, sf):
 
 @query
 def tree_nodes(spark, sf):
-    node, _, _ = _tree(spark, sf)
+    node, _ = _tree(spark, sf)
     return node.select("depth", "node_id", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "radius", "min_x", "max_x", "min_y", "max_y")])
 
 
@@ -148,17 +155,17 @@ def tree_edges(spark, sf):
 
 @query
 def tree_node_bits(spark, sf):
-    return _tree(spark, sf)[2].groupBy("depth", "node_id").agg(F.count("*").alias("n_bits"), F.sum("bit").alias("sum_bits"))
+    return _filtered_tree(spark, sf)[2].groupBy("depth", "node_id").agg(F.count("*").alias("n_bits"), F.sum("bit").alias("sum_bits"))
 
 
 @query
 def tree_density(spark, sf):
-    return tree.density(_tree(spark, sf)[2], bloom.SLICES * bloom.BITS)
+    return tree.density(_filtered_tree(spark, sf)[2], bloom.SLICES * bloom.BITS)
 
 
 @query
 def tree_sizes(spark, sf):
-    return report.sizes(_tree(spark, sf)[2])
+    return report.sizes(_filtered_tree(spark, sf)[2])
 
 
 @query
@@ -167,7 +174,7 @@ def tree_truth_paths(spark, sf):
 
 
 def _beam(spark, sf, scorer=None) -> DataFrame:
-    node, edges, bits = _tree(spark, sf)
+    node, edges, bits = _filtered_tree(spark, sf)
     q = tables.queries(spark, sf)
     qb = _bits(q, "query_id")
     return search.beam_search(node, edges, bits, q, qb, DEPTHS, BEAM, text_score=scorer(bits, qb) if scorer else None)
@@ -224,7 +231,7 @@ def slate_labels(spark, sf):
 @query
 def bm25_stats(spark, sf):
     poi = tables.poi(spark, sf)
-    return lexical.statistics(poi, lexical.term_counts(poi)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.statistics(poi).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
