@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ SPACE = "▁"
 # Fixed values of the model format: piece kinds that are matched in text, and the byte pieces' kind; model types.
 NORMAL, USER, BYTE = 1, 4, 6
 UNIGRAM, BPE = 1, 2
-CACHE, PAIRS = 200_000, 400_000
+CACHE, PAIRS = 250_000, 500_000
 _made: dict[str, "Transducer"] = {}
 
 
@@ -91,12 +92,18 @@ class Transducer:
         if kind_of_model != BPE or charsmap or squeeze or len(self.byte) != 256 or any(SPACE in p.lstrip(SPACE) for p in self.piece):
             raise ValueError("only BPE models with byte fallback, identity normalisation and pieces without inner white space")
         self.front = SPACE if dummy else ""
-        self.longest = max(map(len, self.piece))
-        self.prefixes = {p[:k] for p in self.piece for k in range(1, len(p) + 1)}
+        self.arcs: dict = {}  # a trie of the pieces: arcs by character, and under "" the piece that ends there
+        for p in self.piece:
+            node = self.arcs
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
+        self.output = [self.bytes_of.get(i) or (b"" if i in self.silent else x.encode()) for i, x in enumerate(self.text)]
         self.inner = {p[k : k + 2] for p in self.piece for k in range(len(p) - 1)}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, list[int]] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+        self.words, self.old_words = {}, {}  # two generations of at most CACHE each bound the memory
+        self.runs, self.old_runs = {}, {}
 
     # ---- compilation, as far as inputs reach
 
@@ -115,64 +122,74 @@ class Transducer:
         return symbols
 
     def follows(self, last: str, piece: str) -> bool:
-        """Whether the arc of a piece may leave the state after another piece ("": the start)."""
-        key = (last, piece)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            if last and last + piece in self.rank:
-                known = False
-            elif last and last[-1] + piece[0] not in self.inner:
-                known = self.follows("", piece)
-            else:
-                known = self.merged(last + piece) == ([last, piece] if last else [piece])
-            self.pairs[key] = known
+        """Whether the arc of a piece may leave the state after another piece ("": the start); remembered in pairs."""
+        if last and last + piece in self.rank:
+            known = False
+        elif last and last[-1] + piece[0] not in self.inner:
+            known = self.merged(piece) == [piece]
+        else:
+            known = self.merged(last + piece) == ([last, piece] if last else [piece])
+        if self.n_pairs >= PAIRS:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.pairs.setdefault(last, {})[piece] = known
+        self.n_pairs += 1
         return known
 
     # ---- composition and shortest path
 
     def shortest(self, run: str) -> list[int]:
-        """Ids of the shortest path through the transducer composed with a run of characters."""
-        n, far = len(run), 1 << 60
-        cost, last, back = [far] * (n + 1), [""] * (n + 1), [0] * (n + 1)
-        cost[0] = 0
-        prefixes, piece = self.prefixes, self.piece
-        for i in range(n):
-            if cost[i] >= far:
-                raise ValueError(f"no path through {run!r}")
-            state = last[i]
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = run[i:j]
-                if j > i + 1 and p not in prefixes:
-                    break
-                if (j == i + 1 or p in piece) and cost[i] + 1 < cost[j] and self.follows(state, p):
-                    cost[j], last[j], back[j] = cost[i] + 1, p, i
-                if j == i + 1 and p not in prefixes:
-                    break
-        out: list[int] = []
-        while n:
-            i = piece.get(last[n])
-            out += [self.byte[b] for b in reversed(last[n].encode())] if i is None else [i]
-            n = back[n]
-        return out[::-1]
+        """Ids of the shortest path through the transducer composed with a run of characters.
+
+        Arcs weigh zero or infinity, and at most one path of finite weight leads to each place. So the search goes depth
+        first, longest arcs first, and never returns to a place that has turned out to lead nowhere."""
+        n, arcs, pairs, dead, stack, path = len(run), self.arcs, self.pairs, set(), [], []
+        at, state, options = 0, "", None
+        while at < n:
+            if options is None:
+                c = run[at]
+                node, j, options = arcs.get(c), at + 1, [c]
+                while node is not None and j < n:
+                    node = node.get(run[j])
+                    j += 1
+                    if node is not None and "" in node:
+                        options.append(node[""])
+            known = pairs.get(state)
+            while options:
+                p = options.pop()
+                if at + len(p) not in dead:
+                    ok = known.get(p) if known is not None else None
+                    if ok or ok is None and self.follows(state, p):
+                        stack.append((at, state, options))
+                        path.append(p)
+                        at, state, options = at + len(p), p, None
+                        break
+            else:
+                dead.add(at)
+                if not stack:
+                    raise ValueError(f"no path through {run!r}")
+                at, state, options = stack.pop()
+                path.pop()
+        ids: list[int] = []
+        for p in path:
+            i = self.piece.get(p)
+            ids += [self.byte[b] for b in p.encode()] if i is None else (i,)
+        return ids
 
     def word(self, word: str) -> bytes:
-        """Ids (u16 or wider: see kind) of a run that begins with white space; cut where no piece spans two neighbours."""
-        ids, begin, inner = [], 0, self.inner
-        for k in range(1, len(word) + 1):
-            if k == len(word) or word[k - 1 : k + 1] not in inner:
-                run = word[begin:k]
-                known = self.runs.get(run)
-                if known is None:
-                    known = self.shortest(run)
-                    if len(run) <= 40:
-                        if len(self.runs) >= CACHE:
-                            self.runs.clear()
-                        self.runs[run] = known
-                ids += known
-                begin = k
-        return np.array(ids, "<i4").tobytes()
+        """Ids (i32) of a run that begins with white space; cut where no piece spans two neighbours."""
+        ids, begin, inner, runs = [], 0, self.inner, self.runs
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in inner]
+        for k in (*cuts, len(word)):
+            run = word[begin:k]
+            known = runs.get(run)
+            if known is None:
+                known = self.old_runs.get(run) or self.shortest(run)
+                if len(run) <= 40:
+                    runs[run] = known
+            ids += known
+            begin = k
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -181,21 +198,21 @@ class Transducer:
             words = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", self.front + text.replace(" ", SPACE))
         else:
             words = [SPACE + w for w in text.split(" ")]
-        known, out = self.words, []
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = self.word(w)
-                if len(w) <= 60:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[w] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), "<i4")
+        if len(self.words) >= CACHE:
+            self.old_words, self.words = self.words, {}
+        if len(self.runs) >= CACHE:
+            self.old_runs, self.runs = self.runs, {}
+        known, old = self.words, self.old_words
+        for w in set(words).difference(known):
+            known[w] = old.get(w) or self.word(w)
+        out = b"".join(map(known.__getitem__, words))
+        for w in [w for w in known if len(w) > 60] if len(text) > 1 << 16 else ():
+            del known[w]
+        return np.frombuffer(out, "<i4")
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: byte pieces join to UTF-8 (U+FFFD for what is none), white space is put back, the front one dropped."""
-        out = b"".join([self.bytes_of.get(i) or (b"" if i in self.silent else self.text[i].encode()) for i in ids]).decode(errors="replace").replace(SPACE, " ")
+        out = b"".join(map(self.output.__getitem__, ids)).decode(errors="replace").replace(SPACE, " ")
         return out[1:] if self.front and out.startswith(" ") else out
 
 
