@@ -1,4 +1,7 @@
-"""Files that tasks write to the shared folder: by a temporary name first, then renamed, so that a task that is run twice leaves one whole file."""
+"""Files that tasks write to the shared folder: by a temporary name first, then renamed, so that there are only whole files.
+
+A file's name holds its partition and the attempt that wrote it. Readers are told the attempts whose results Spark has
+taken, one for each partition, so that what lost or second attempts have left is never read."""
 
 from __future__ import annotations
 
@@ -13,6 +16,18 @@ def _local(uri: str) -> str | None:
     return unquote(u.path) if u.scheme in ("", "file") else None
 
 
+def attempt() -> tuple[int, int]:
+    """The partition and the attempt of the running task."""
+    context = TaskContext.get()
+    return context.partitionId(), context.taskAttemptId()
+
+
+def wrote(path: str) -> tuple[int, int]:
+    """The partition and the attempt in a file's name: kind-partition-attempt..."""
+    parts = path.rsplit("/", 1)[-1].split(".")[0].split("-")
+    return int(parts[1]), int(parts[2])
+
+
 class Output:
     """A binary file under construction; done() gives it its name."""
 

@@ -195,8 +195,11 @@ def kept_words(text: bytes, removed: list[bytes], width: int) -> tuple[list[byte
     return kept + words[last:], len(words), spans
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_text (kept words joined by one space), kept_sha256, removed (intervals of words).
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_text (kept words joined by one space), kept_sha256, removed (intervals of words), and the columns to carry.
+
+    Carried columns travel beside the text, so that no further join is needed to have them again. untouched: kept_text is
+    the text as it was, white space included, where nothing is removed.
 
     Words are runs of other bytes than 0x20 and 0x09-0x0D. A word goes if a window of `width` words that covers it also
     starts in a document with a smaller id; windows are judged on the input. Copies in the first document that has them
@@ -207,16 +210,20 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     """
     C.session(docs)
     rows = C.texts_of(docs, id_col, text_col)
-    joined = rows.join(repeated_windows(rows, width), "doc_id", "left").select("doc_id", "text", "hashes")
+    beside = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)])
+    joined = beside.join(repeated_windows(rows, width), "doc_id", "left").select("doc_id", "text", "hashes", *[f"carried_{k}" for k in range(len(carry))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))])
         for batch in batches:
             out = []
             for i, text, removed in zip(batch.column(0).to_pylist(), C.blobs(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words, n, spans = kept_words(text, removed or [], width)
                 kept = b" ".join(words)
-                out.append((i, n, n - len(words), kept.decode(), hashlib.sha256(kept).hexdigest(), [{"first": a, "end": b} for a, b in spans]))
-            yield C.table_rows(schema, out)
+                out.append((i, n, n - len(words), (text if untouched and not spans else kept).decode(), hashlib.sha256(kept).hexdigest(), [{"first": a, "end": b} for a, b in spans]))
+            made = C.table_rows(schema, out)
+            yield pa.RecordBatch.from_arrays([*made.columns, *batch.columns[3:]], names=[*schema.names, *[f"carried_{k}" for k in range(len(carry))]])
 
-    return joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, removed array<struct<first:long,end:long>>")
+    kinds = "".join(f", carried_{k} {docs.select(c).schema[0].dataType.simpleString()}" for k, c in enumerate(carry))
+    out = joined.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, removed array<struct<first:long,end:long>>" + kinds)
+    return out.select("doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "removed", *[F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)])

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +55,8 @@ def encode(path: str, texts: list[str], kind: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(x), kind) for x in (m.sums(texts) if m.plain else zip(m.encode(texts), strict=True))]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes | None = None) -> list[tuple[int, int, int]]:
-    """Writes shards shard-NNNNNN.cqt in ascending id order (ties by text); returns (shard, documents, tokens) of each.
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes | None = None) -> list[tuple[int, int, int, int]]:
+    """Writes shards shard-PARTITION-ATTEMPT.cqt in ascending id order (ties by text); returns (shard, attempt, documents, tokens) of each.
 
     Rows are dealt by ranges of ids, sorted and encoded where they are written. Null text: only the end id; null ids come
     first; repeated rows are each written; an empty table writes shards without documents or none.
@@ -70,11 +69,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(data) if data else None, write_content_size=True, write_dict_id=False)
-        shard = TaskContext.get().partitionId()
+        shard, tried = files.attempt()
         out, index, total = None, [], 0
         for batch in batches:
             if out is None:
-                out = files.Output(folder, f"shard-{shard:06d}.cqt")
+                out = files.Output(folder, f"shard-{shard:06d}-{tried}.cqt")
                 out.write(struct.pack(HEAD, MAGIC, hashlib.sha256(data).digest() if data else bytes(32), int(kind[-1])))
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in C.parts([len(t) for t in texts], 1 << 20):
@@ -90,10 +89,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             out.write(zstandard.ZstdCompressor(level=3, write_content_size=True).compress(np.ascontiguousarray(table.T).astype("<i8").tobytes()))
             out.write(struct.pack(TAIL, at, len(index), MAGIC))
             out.done()
-            yield C.table_rows(pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]), [(shard, len(index), total)])
+            yield C.table_rows(pa.schema([("shard", pa.int64()), ("attempt", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]), [(shard, tried, len(index), total)])
 
     rows = C.texts_of(docs, id_col, text_col).repartitionByRange(C.deal(spark, 2), "doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted((r[0], r[1], r[2]) for r in rows.mapInArrow(write, "shard long, n_docs long, n_tokens long").collect())
+    return sorted(map(tuple, rows.mapInArrow(write, "shard long, attempt long, n_docs long, n_tokens long").collect()))
 
 
 class Shard:
@@ -118,21 +117,23 @@ class Shard:
         return np.frombuffer(self.unpack.decompress(self.content[self.offsets[k] : self.ends[k]]), f"<u{self.width}")
 
 
-def read_tokens(spark, folder: str, shards: list[tuple[int, int, int]], dictionary: bytes, with_ids: bool = False) -> DataFrame:
+def read_tokens(spark, folder: str, shards: list[tuple[int, int, int, int]], dictionary: bytes, with_ids: bool = False) -> DataFrame:
     """Per document of the shards: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as u32), and ids if asked for.
 
-    shards holds three numbers for each shard, as many as there were writing tasks."""
+    shards holds four numbers for each shard, as many as there were writing tasks."""
     starts, total = {}, 0
-    for shard, _, n in shards:
-        starts[shard] = total
+    for shard, tried, _, n in shards:
+        starts[shard, tried] = total
         total += n
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                start = starts.get(files.wrote(path))
+                if start is None:
+                    continue
                 shard = Shard(content.as_py(), dictionary)
-                start = starts[int(path.rsplit("-", 1)[1].split(".")[0])]
                 rows = []
                 for k, (i, n) in enumerate(zip(shard.doc_ids.tolist(), shard.n_tokens.tolist(), strict=True)):
                     x = shard.ids(k)

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +118,8 @@ def _page(text: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> int:
-    """Writes bundle-*.warc.zst; returns how many records there are.
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[tuple[int, int, int]]:
+    """Writes bundle-PARTITION-ATTEMPT-NUMBER.warc.zst; returns (partition, attempt, records) of each task that wrote any.
 
     Of equal payloads (by SHA-1) of at least min_bytes, the rows with the largest id are responses, the others refer to
     it. Digests that occur once never meet another row: only those that occur again, counted with partial sums, are joined,
@@ -134,11 +133,11 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str =
     joined = rows.join(C.stage(again), "digest", "left").select("page_id", "url", "digest", "first", F.when(F.col("first").isNull() | (F.col("page_id") == F.col("first")), F.col("html")).alias("html"), F.octet_length("html").alias("size"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, bundle, number, n = TaskContext.get().partitionId(), None, 0, 0
+        (part, tried), bundle, number, n = files.attempt(), None, 0, 0
         for batch in batches:
             for page_id, url, digest, first, html, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bundle is None:
-                    bundle = Bundle(folder, f"bundle-{part:06d}-{number:04d}.warc.zst")
+                    bundle = Bundle(folder, f"bundle-{part:06d}-{tried}-{number:04d}.warc.zst")
                     number += 1
                 payload = (html or "").encode()
                 bundle.add(page_id, record(page_id, url, payload, size, base64.b32encode(bytes.fromhex(digest)).decode(), None if first is None or first == page_id else first))
@@ -148,18 +147,23 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str =
                     bundle = None
         if bundle is not None:
             bundle.close()
-        yield C.table_rows(pa.schema([("n", pa.int64())]), [(n,)])
+        if n:
+            yield C.table_rows(pa.schema([("part", pa.int64()), ("attempt", pa.int64()), ("n", pa.int64())]), [(part, tried, n)])
 
-    return joined.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    return [tuple(r) for r in joined.mapInArrow(write, "part long, attempt long, n long").collect()]
 
 
-def read_warc(spark, folder: str) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to. A response's payload is checked against its digest."""
+def read_warc(spark, folder: str, written: list[tuple[int, int, int]]) -> DataFrame:
+    """Per record of what write_warc has returned: page_id, payload_bytes, payload_digest, record_type, refers_to. A response's payload is checked against its digest."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
+    taken = {x[:2] for x in written}
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if files.wrote(path) not in taken:
+                    continue
                 reader, rows, held, frame = Reader(content.as_py()), [], -1, b""
                 for page_id, k, at, size in reader.index():
                     if k != held:
@@ -173,13 +177,14 @@ def read_warc(spark, folder: str) -> DataFrame:
                     rows.append((_page(headers["WARC-Record-ID"]), length, digest, headers["WARC-Type"], _page(headers.get("WARC-Refers-To"))))
                 yield C.table_rows(schema, rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "bundle-*.warc.zst").load(folder).select("content").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "bundle-*.warc.zst").load(folder).select("path", "content").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_archive(pages: DataFrame, min_bytes: int = 0, folder: str | None = None, **columns: str) -> DataFrame:
     """Writes the pages to a folder (a new shared one, if none is given) and reads the archives back; see write_warc and read_warc."""
     spark = C.session(pages)
     folder = folder or C.shared(spark)
-    if not write_warc(pages, folder, min_bytes, **columns):
+    written = write_warc(pages, folder, min_bytes, **columns)
+    if not written:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_warc(spark, folder)
+    return read_warc(spark, folder, written)
