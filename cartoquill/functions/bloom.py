@@ -66,6 +66,11 @@ def bloom(tokens: Column, slices: int = SLICES, bits: int = BITS, hasher: Callab
     return F.array_sort(F.array_distinct(F.flatten(made)))
 
 
+def sequence(tokens: Column, slices: int = SLICES, bits: int = BITS, most: int = 40) -> Column:
+    """The bits of each of the first `most` tokens, in order: filters that keep word order."""
+    return F.transform(F.transform(F.slice(tokens, 1, most), lambda t: F.md5(t.cast("binary"))), lambda d: _slices(d, slices, bits))
+
+
 def exploded(rows: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column], slices: int = SLICES, bits: int = BITS) -> DataFrame:
     """(id, bit), distinct, without a shuffle: bits are made distinct within their row."""
     return rows.select(id_col, F.explode(bloom(F.array_distinct(tokenizer(F.col(text_col))), slices, bits)).alias("bit"))

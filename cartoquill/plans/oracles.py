@@ -144,6 +144,7 @@ t AS (SELECT poi_id, list_sort(list_distinct(list_concat({NGRAMS.format(c='a')},
 SELECT conv_id, turn, len(t)::INT AS n_tokens, array_to_string(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])), '|') AS ngrams FROM t""",
     "normal_documents": "WITH a AS (SELECT doc_id, replace(replace(text, chr(10), ' '), '’', '''') AS t FROM documents), b AS (SELECT doc_id, CASE WHEN starts_with(t, '\"') THEN substr(t, 2) ELSE t END AS t FROM a) SELECT doc_id, md5(CASE WHEN ends_with(t, '\"') THEN substr(t, 1, len(t) - 1) ELSE t END) AS digest FROM b",
     "bloom_bits_md5": f"WITH {QUERY}, {QB} SELECT query_id, bit FROM qb",
+    "bloom_sequences": f"WITH {QUERY}, w AS (SELECT query_id, {WORDS.format(c='text')}[1:40] AS w FROM q), u AS (SELECT query_id, (generate_subscripts(w, 1) - 1)::INT AS place, unnest(w) AS w FROM w) SELECT query_id, place, ('0x' || substr(md5(w), 1, 4))::INT % 8192 AS bit_0, ('0x' || substr(md5(w), 5, 4))::INT % 8192 + 8192 AS bit_1 FROM u",
     "bloom_overlap": f"WITH {SETS}, {PB}, {QB}, {OVERLAP} SELECT * FROM ov",
     "bloom_unmatched": f"""WITH {SETS}, {PB}, {QB}, {TRUTH},
 pairs AS (SELECT query_id, poi_id FROM truth UNION SELECT query_id, poi_id FROM (SELECT query_id, poi_id FROM q CROSS JOIN poi QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sqrt((q.x - poi.x) ** 2 + (q.y - poi.y) ** 2), poi_id) <= 10))

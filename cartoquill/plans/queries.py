@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bloom, geo, numeric, text
 from ..operators import datasets, dense, lexical, metrics, network, report, search, tree
 from ..sources import tables
-from ..sources.stores import materialise
+from ..sources.stores import hinted, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,7 +34,7 @@ def _bits(rows: DataFrame, key: str) -> DataFrame:
 def _truths(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, poi_id): places whose text holds a query's."""
     poi, q = _sets(spark, sf)
-    return poi.select("poi_id", "text").join(F.broadcast(q.select("query_id", F.col("text").alias("asked"))), F.col("text").contains(F.col("asked"))).select("query_id", "poi_id")
+    return poi.select("poi_id", "text").join(hinted(q.select("query_id", F.col("text").alias("asked"))), F.col("text").contains(F.col("asked"))).select("query_id", "poi_id")
 
 
 def _dense(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +44,7 @@ def _dense(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _dense_truths(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    return corpus.select("vec_id", "label").join(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), "label")), "label").select("query_id", "vec_id")
+    return corpus.select("vec_id", "label").join(hinted(queries.select(F.col("vec_id").alias("query_id"), "label")), "label").select("query_id", "vec_id")
 
 
 def _placed(v: DataFrame) -> DataFrame:
@@ -96,6 +96,12 @@ def bloom_bits_md5(spark, sf):
     return _bits(tables.queries(spark, sf), "query_id")
 
 
+@query
+def bloom_sequences(spark, sf):
+    q = tables.queries(spark, sf).select("query_id", F.posexplode(bloom.sequence(text.words(F.col("text")))).alias("place", "bits"))
+    return q.select("query_id", "place", F.col("bits")[0].alias("bit_0"), F.col("bits")[1].alias("bit_1"))
+
+
 @query
 def bloom_overlap(spark, sf):
     poi, q = _sets(spark, sf)
@@ -349,7 +355,7 @@ def _positives(spark, sf) -> DataFrame:
     """Each query's first vector of its own label counts as its positive, among all vectors."""
     c, q = _dense(spark, sf)
     first = _dense_truths(c, q).groupBy("query_id").agg(F.min("vec_id").alias("vec_id")).withColumn("positive", F.lit(True))
-    pairs = dense.cosine_pairs(c, q).join(F.broadcast(first), ["query_id", "vec_id"], "left").na.fill(False, ["positive"])
+    pairs = dense.cosine_pairs(c, q).join(first, ["query_id", "vec_id"], "left").na.fill(False, ["positive"])
     return metrics.positive_ranks(pairs.withColumnRenamed("vec_id", "item"))
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
@@ -32,6 +33,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(rows: DataFrame, most: int = 8 << 20) -> bool:
+    """Whether Spark's own estimate of a relation is below a bound, so that it may be sent to every task."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
+def hinted(rows: DataFrame) -> DataFrame:
+    """The relation, marked for broadcast only if it is small; Spark chooses the join of others."""
+    return F.broadcast(rows) if small(rows) else rows
+
+
 def build_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The relation at a path; built and written there if there is none."""
     try:
