@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stores import small
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(rows: DataFrame, least: int = 1 << 20) -> DataFrame:
+    """A scan of fewer files than there are cores is dealt over all of them, unless it is tiny: one file may be one task. Larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores and not small(rows, least) else rows
 
 
 def poi(spark: SparkSession, sf_dir: str) -> DataFrame:
