@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import tables
 from . import licenses, neighbours, quality, simhash, substrings, tiling, tokenfile, tokens, transducer, warc
 
 
@@ -15,48 +16,44 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
+    return tokens.token_counts(tables.table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transducer.encode_pieces(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"), with_ids=False)
+    return transducer.encode_pieces(tables.table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"), with_ids=False)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substrings.dedup_substrings(tables.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(tables.table(spark, sf_dir, "embeddings"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(tables.table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.quality_scores(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels"))
 
 
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.token_file(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
+    return tokenfile.token_file(tables.table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.warc_archive(_table(spark, sf_dir, "pages"))
+    return warc.warc_archive(tables.table(spark, sf_dir, "pages"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+    return licenses.license_scan(tables.table(spark, sf_dir, "documents"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return tiling.contaminated(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_substring_dedup, op4_nearest_neighbours, op5_simhash, op6_quality, op7_token_file, op8_warc, op9_licenses, op10_decontamination)}

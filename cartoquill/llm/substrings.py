@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH = 13
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 8 << 20
 
 
 def pack_hashes(h: np.ndarray) -> bytes:
@@ -82,7 +82,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     packed by document.
     """
     spark = C.session(docs)
-    n = C.deal(spark)
+    n = C.deal(spark, 2)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("local", pa.binary())])
@@ -91,12 +91,13 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             again = repeated(ids[place], h)
             bucket = ((h >> C.U64(32)) * C.U64(n) >> C.U64(32)).astype(np.int64)
             unit = int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
-            held, rows = pack_hashes(ids.view(C.U64)), []
+            rows = []
             begin = np.searchsorted(bucket, np.arange(n + 1))
             for b in np.flatnonzero(np.diff(begin)).tolist():
                 s = slice(begin[b], begin[b + 1])
                 new = ~again[s]
-                rows.append((b, unit, held, pack_hashes(h[s][new]), pack_places(place[s][new]), pack_hashes(h[s][~new]) + pack_places(place[s][~new]) if again[s].any() else b""))
+                used, at = np.unique(place[s], return_inverse=True)  # a row names the documents it speaks of, ascending
+                rows.append((b, unit, pack_hashes(ids[used].view(C.U64)), pack_hashes(h[s][new]), pack_places(at[new]), pack_hashes(h[s][~new]) + pack_places(at[~new]) if again[s].any() else b""))
                 if len(rows) >= 64:
                     yield C.table_rows(schema, rows)
                     rows = []
