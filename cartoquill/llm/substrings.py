@@ -82,7 +82,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     packed by document.
     """
     spark = C.session(docs)
-    n = C.deal(spark, 2)
+    n = C.deal(spark)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("local", pa.binary())])
