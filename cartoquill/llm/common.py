@@ -57,13 +57,30 @@ def shared(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/cq-{uuid.uuid4().hex}"
 
 
+#: Ends an execution by removing its shuffle files, which else stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """The rows, written once to the shared folder and read again: cuts lineage, survives lost executors."""
+    """The rows, written once to the shared folder and read again: cuts lineage, survives lost executors, and frees the shuffle files of what made them."""
     spark = df.sparkSession
-    to = shared(spark)
-    writer = df.write.mode("error")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    to, before = shared(spark), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer = df.write.mode("error")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(to)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(to)
+    out._staged = to
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def deal(spark: SparkSession, times: int = 4) -> int:
@@ -71,8 +88,15 @@ def deal(spark: SparkSession, times: int = 4) -> int:
     return max(8, times * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def buckets(total: int) -> int:
+    """Into how many buckets to deal what is made of so many bytes of text: one for each 16 MB up to 4,096, beyond that as many as keep a bucket within 1 GB."""
+    return max(8, min(-(-total // (16 << 20)), 4096), -(-total // (1 << 30)))
+
+
+def texts_of(df: DataFrame, id_col: str, text_col: str, key_col: str | None = "") -> DataFrame:
+    """doc_id, text, and doc_key where a column is named for it (None: nulls)."""
+    key = [] if key_col == "" else [(F.col(key_col) if key_col else F.lit(None)).cast("long").alias("doc_key")]
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *key)
 
 
 def blobs(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -51,17 +51,17 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, f0 ... of each row; null texts count as empty."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """doc_id, doc_key (of key_col, else null), f0 ... of each row; null texts count as empty."""
     C.session(docs)
     names = [f"f{k}" for k in range(len(FEATURES))]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([statistics(t) for t in C.blobs(batch.column(1))], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(x.shape[1])]], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x[:, k]) for k in range(x.shape[1])]], names=["doc_id", "doc_key", *names])
 
-    return C.texts_of(docs, id_col, text_col).mapInArrow(make, "doc_id long, " + ", ".join(f"{x} double" for x in names))
+    return C.texts_of(docs, id_col, text_col, key_col).mapInArrow(make, "doc_id long, doc_key long, " + ", ".join(f"{x} double" for x in names))
 
 
 @dataclass
@@ -115,8 +115,8 @@ def fit(labelled: DataFrame, shrink: float = SHRINK, ridge: float = RIDGE) -> Di
     return Discriminant(shift, scale, means, factors, weights)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Per row: doc_id, held_out (crc32 of the id as text leaves 1 modulo 3), score (0 to 1), predicted (1 if score >= 0.5).
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", key_col: str | None = None) -> DataFrame:
+    """Per row: doc_id, held_out (crc32 of the id as text leaves 1 modulo 3), score (0 to 1), predicted (1 if score >= 0.5), and the long key_col, if one is named.
 
     Fitted on labelled rows that are not held out; every row is scored. Inputs of a score are statistics of the whole text
     alone. Null text: as empty, which has a score like any other; null or other labels than 0 and 1 are left out, a label that repeats counts
@@ -124,14 +124,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     C.session(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    rows = C.stage(features(docs, id_col, text_col).withColumn("held_out", held))
+    rows = C.stage(features(docs, id_col, text_col, key_col).withColumn("held_out", held))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     model = fit(rows.where("not held_out").join(known, "doc_id"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(k + 1).to_numpy() for k in range(len(FEATURES))])
+            x = np.column_stack([batch.column(k + 2).to_numpy() for k in range(len(FEATURES))])
             y = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.num_columns - 1), pa.array(y), pa.array((y >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(batch.num_columns - 1), pa.array(y), pa.array((y >= 0.5).astype(np.int32))], names=["doc_id", "doc_key", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    out = rows.mapInArrow(score, "doc_id long, doc_key long, held_out boolean, score double, predicted int")
+    return out.select("doc_id", "held_out", "score", "predicted", *([F.col("doc_key").alias(key_col)] if key_col else []))

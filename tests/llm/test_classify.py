@@ -96,40 +96,56 @@ def test_templates():
 # ---- tiling
 
 
-def brute_tiles(p, t, shortest):
-    """Greedy string tiling by the book: scan for the longest unmarked matches, mark them, repeat."""
-    mp, mt, out = [False] * len(p), [False] * len(t), 0
+def brute_tiles(item, doc, shortest):
+    """Greedy string tiling by the book: the longest unmarked match, ties to the first places, is marked, again and again."""
+    in_item, in_doc, out = [False] * len(item), [False] * len(doc), []
     while True:
-        best, found = shortest - 1, []
-        for i in range(len(p)):
-            for j in range(len(t)):
-                k = 0
-                while i + k < len(p) and j + k < len(t) and p[i + k] == t[j + k] and not mp[i + k] and not mt[j + k]:
-                    k += 1
-                if k > best:
-                    best, found = k, [(i, j)]
-                elif k == best and k >= shortest:
-                    found.append((i, j))
-        if best < shortest:
+        best = (0,)
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and not in_item[a + n] and not in_doc[b + n] and item[a + n] == doc[b + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, a, b)
+        if best[0] < shortest:
             return out
-        for i, j in found:
-            if not any(mp[i : i + best]) and not any(mt[j : j + best]):
-                mp[i : i + best] = [True] * best
-                mt[j : j + best] = [True] * best
-                out += best
+        n, a, b = best
+        in_item[a : a + n] = in_doc[b : b + n] = [True] * n
+        out.append((a, b, n))
 
 
 def test_tiles_against_brute_force():
-    r = np.random.default_rng(4)
-    for _ in range(60):
-        item = [f"i{x}" for x in r.integers(0, 25, r.integers(4, 20))]
-        doc = [f"i{x}" for x in r.integers(0, 25, 30)]
-        for _ in range(3):
-            a, n = int(r.integers(0, len(item))), int(r.integers(2, 9))
-            doc[int(r.integers(0, 30)) : 0] = item[a : a + n]
-        items = tiling.Items([(1, " ".join(item).encode())], 3)
-        got = [x[3] for x in tiling.match([" ".join(doc).encode()], items, 3, 0.0001)]
-        assert sum(got) == brute_tiles(item, doc, 3)
+    import random
+
+    r = random.Random(1)
+    for _ in range(400):
+        v = r.choice([1, 2, 3, 6])
+        item = [b"w%d" % r.randrange(v) for _ in range(r.randrange(1, 25))]
+        doc = [b"w%d" % r.randrange(v + 1) for _ in range(r.randrange(0, 40))]
+        s = min(r.choice([1, 2, 3, 4]), len(item))
+        want = brute_tiles(item, doc, s)
+        assert tiling.tiles(item, doc, s) == want
+        share, covered = r.choice([0.2, 0.5, 0.9]), sum(x[2] for x in want)
+        got = list(tiling.match([b" ".join(doc)], tiling.Items([(7, b" ".join(item))], s), share))
+        assert got == ([(0, 0, len(want), covered, covered / len(item))] if covered >= share * len(item) else [])
+
+
+def test_tiles_when_hashes_collide(monkeypatch):
+    first = tiling.Rolling.windows
+    monkeypatch.setattr(tiling.Rolling, "windows", lambda self, starts, n: first(self, starts, n) % 3 if self.fields[0][0][1] == seed_0 else first(self, starts, n))
+    seed_0 = tiling.Rolling(np.zeros(1, np.int64), 0, 4).fields[0][0][1]
+    item, doc = [b"a", b"b", b"c", b"d", b"e", b"f"], [b"x", b"e", b"f", b"a", b"b", b"c", b"y"]
+    assert tiling.tiles(item, doc, 2) == brute_tiles(item, doc, 2)
+
+
+def test_a_repetitive_item_and_a_long_repetitive_text():
+    import resource
+
+    items = tiling.Items([(1, b"a " * 100), (2, b"b b")], 4)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert sorted(tiling.match([b"a " * 2_500_000, b"c " * 10 + b"b b"], items, 0.5)) == [(0, 0, 1, 100, 1.0), (1, 1, 1, 2, 1.0)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
 
 
 def test_contaminated(spark):
@@ -145,11 +161,27 @@ def test_contaminated(spark):
     assert tiling.contaminated(docs, items.where("false")).count() == 0 and tiling.contaminated(docs.where("false"), items).count() == 0
 
 
-def test_items_in_blocks(spark, monkeypatch):
+def test_items_joined_by_their_seeds(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(900, "ein"), (901, ""), (902, "of the")], "item_id long, text string"))
     whole = sorted(map(tuple, tiling.contaminated(docs, items).collect()))
-    monkeypatch.setattr(tiling, "BLOCK_BYTES", 9000)
+    monkeypatch.setattr(tiling, "SENT_BYTES", 0)
     assert sorted(map(tuple, tiling.contaminated(docs, items).collect())) == whole
-    held = {(r["doc_id"], i["item_id"]) for r in docs.collect() for i in items.collect() if i["text"] in r["text"]}
+    held = {(r["doc_id"], i["item_id"]) for r in docs.collect() for i in items.collect() if i["text"] and f" {i['text']} " in f" {r['text']} "}
     assert held <= {x[:2] for x in whole}
+
+
+def test_the_query_against_brute_force(spark):
+    split = lambda t: [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))]
+    docs = [(r["doc_id"], split(r["text"])) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r["item_id"], split(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = set()
+    for i, item in items:
+        seeds = {tuple(item[k : k + 4]) for k in range(len(item) - 3)}
+        for d, doc in docs:
+            runs = {k + x for k in range(len(doc) - 3) if tuple(doc[k : k + 4]) in seeds for x in range(4)}
+            if len(runs) >= 4:  # words outside of shared runs can't be in a tile
+                found = brute_tiles(item, [w if k in runs else b"" for k, w in enumerate(doc) if k in runs or k - 1 in runs], 4)
+                if (n := sum(x[2] for x in found)) >= 0.5 * len(item):
+                    want.add((d, i, len(found), n))
+    assert want and {tuple(r)[:4] for r in catalogue.op10_decontamination(spark, SF).collect()} == want

@@ -20,7 +20,8 @@ def shared(item: str, text: str) -> float:
 
 def test_stages_follow_each_other(spark, tmp_path):
     import __spark_entry__ as e
-    from test_dedup import brute_components, brute_fingerprint, brute_substrings
+    from test_dedup import brute_substrings
+    from test_shingles import brute_kept
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, {}
@@ -32,10 +33,7 @@ def test_stages_follow_each_other(spark, tmp_path):
         assert k == len(p.STAGES) - 1 or docs.columns == columns
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert all(i in kept["quality"] for i, q in labels.items() if q == 1)
-    a = kept["quality"]
-    ids = sorted(a)
-    components = brute_components(ids, [brute_fingerprint(a[i]) for i in ids])
-    assert set(kept["near_dedup"]) == {i for i, c in zip(ids, components, strict=True) if i == c}
+    assert sorted(kept["near_dedup"]) == brute_kept(sorted(kept["quality"].items()))
     b = kept["near_dedup"]
     removed = {r[0]: r for r in brute_substrings(list(b.items()))}
     c = kept["substring_dedup"]
@@ -67,5 +65,26 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     assert p.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    long = " ".join(f"w{k * 7919 % 5003}" for k in range(60_000))
+    odd = spark.createDataFrame([(None, "a text of its own that no other row of the table has", None, None, None), (None, None, "en", "s", 0), (7, "", "en", "s", 0), (7, "", "en", "s", 0), (8, "one", "en", "s", 3), (8, "two", "en", "s", 3), (9, long, "en", "s", len(long)), (10, long, "en", "s", len(long))], docs.schema)
+    names = ["rejected", "kept", "leak", "doc_key", "at", "row", "text_", "fp", "hashes", "item_id", "carried_0", "n"]
+    rows = docs.unionByName(odd).selectExpr("*", *[f"doc_id AS {n}" for n in names])
+    for name, stage in p.STAGES:
+        out = stage(spark, rows, SF)
+        got = out.collect()
+        if name != "piece_ids":
+            assert out.columns == docs.columns and len(got) > 20
+        if name == "near_dedup":
+            own = [(r["doc_id"], r["text"]) for r in got]
+            assert len(set(own)) == len(own) and (None, odd.first()["text"]) in own
+            assert (8, "one") in own and (8, "two") in own and (9, long) in own and (10, long) not in own
+            assert len([t for _, t in own if not t]) == 1 and (7, "") in own
+        if name == "decontamination":
+            assert len([r for r in got if r["doc_id"] is None]) == 2
+        assert stage(spark, rows.where("false"), SF).count() == 0
+
+
 def test_names():
     assert [n for n, _ in p.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontamination", "piece_ids"]
