@@ -71,6 +71,8 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(to)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    at = spark._jvm.org.apache.hadoop.fs.Path(to)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)  # what is not dropped before goes with the driver
     out = spark.read.schema(df.schema).parquet(to)
     out._staged = to
     return out
@@ -88,9 +90,9 @@ def deal(spark: SparkSession, times: int = 4) -> int:
     return max(8, times * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def buckets(total: int) -> int:
-    """Into how many buckets to deal what is made of so many bytes of text: one for each 16 MB up to 4,096, beyond that as many as keep a bucket within 1 GB."""
-    return max(8, min(-(-total // (16 << 20)), 4096), -(-total // (1 << 30)))
+def buckets(total: int, each: int = 16 << 20) -> int:
+    """Into how many buckets to deal what is made of so many bytes of text: one for each 16 MB up to 4,096, beyond that as many as keep a bucket within 64 MB."""
+    return max(8, min(-(-total // each), 4096), -(-total // (64 << 20)))
 
 
 def texts_of(df: DataFrame, id_col: str, text_col: str, key_col: str | None = "") -> DataFrame:
@@ -127,7 +129,10 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _STEP = U64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 20
-_powers: dict[str, np.ndarray] = {}
+#: Words are hashed as polynomials in two fields of this many elements, at two bases (fixed values of a rule).
+_PRIME = (1 << 31) - 1
+_POINTS = (_BASE % _PRIME, pow(_BASE, 3, _PRIME))
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -140,14 +145,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        n = max(n, _CHUNK + 4096)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(n, base, U64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+def _power(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each base the powers upwards and, of its inverse, downwards; n at least."""
+    if not _powers or len(_powers[0][0]) < n:
+        n, made = max(n, _CHUNK + 4096), []
+        for point in _POINTS:
+            pair = []
+            for base in (point, pow(point, -1, _PRIME)):
+                x = np.ones(1, U64)
+                while len(x) < n:
+                    x = np.concatenate((x, x * U64(pow(base, len(x), _PRIME)) % U64(_PRIME)))
+                pair.append(x[:n])
+            made.append(tuple(pair))
+        _powers[:] = made
+    return _powers
 
 
 def _hash_chunk(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +166,12 @@ def _hash_chunk(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, U64), start
-    up, down = _power(len(b) + 1)
-    sums = np.zeros(len(b) + 1, U64)
-    np.cumsum(b * up[: len(b)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * _STEP), start
+    fields, p = [], U64(_PRIME)
+    for up, down in _power(len(b) + 1):
+        sums = np.zeros(len(b) + 1, U64)  # bytes below 2**8, powers below 2**31: no overflow up to 2**25 bytes
+        np.cumsum(b * up[: len(b)], out=sums[1:])
+        fields.append((sums[end] - sums[start]) % p * down[start] % p)
+    return mix((fields[0] << U64(31) | fields[1]) + (end - start).astype(U64) * _STEP), start
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:

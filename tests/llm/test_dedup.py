@@ -48,6 +48,37 @@ def test_substrings_on_odd_rows(spark):
     assert spans[5] == [(0, 30)] and spans[12] == [(0, 40)] and all(b - a >= 13 for a, b in spans[13])
 
 
+def thue_morse(n):
+    """Two different words of 2**n signs; polynomials modulo a power of two cannot tell them apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_windows_are_judged_by_their_words(spark, bits):
+    """With two bits, all windows have hashes that others have too."""
+    a, b = thue_morse(10)
+    tail = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a} {tail}")]
+    r = np.random.default_rng(3)
+    rows += [(k, " ".join(f"v{x}" for x in r.integers(0, 2, 60))) for k in range(10, 16)] + [(20, rows[0][1] + " x " + tail), (4, "z " * 300)]
+    got = substrings.dedup_substrings(frame(spark, rows), bits=bits).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute_substrings(rows)
+
+
+@pytest.mark.parametrize("unit", [60, 500, 8 << 20])
+def test_many_units_in_a_task(spark, monkeypatch, unit):
+    monkeypatch.setattr(substrings, "UNIT_BYTES", unit)
+    r = np.random.default_rng(9)
+    lines = [" ".join(f"w{x}" for x in r.integers(0, 50, 15)) for _ in range(20)]
+    rows = [(int(r.integers(0, 70)) if k % 9 else None, " ".join(lines[int(x)] for x in r.integers(0, 20, r.integers(0, 5)))) for k in range(80)]
+    rows += [rows[3], rows[3], rows[4]]
+    docs = frame(spark, rows).coalesce(2)
+    assert sorted(map(tuple, substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute_substrings(rows)
+
+
 def test_substrings_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, catalogue.op3_substring_dedup(spark, SF).collect()), key=repr) == brute_substrings(rows)
