@@ -132,20 +132,26 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.withColumn("bucket", F.pmod("block", F.lit(n)).cast("int")).groupBy("bucket").applyInArrow(compare, "child long, root long")
 
 
+#: Edges that one task of a round handles, about.
+EDGES = 20_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(child, root): the smallest number that each child reaches. edges: (child, root) with root < child.
 
     Each round keeps one edge from each child to its smallest root, follows that root's own edge, and ties the child's
     other roots to the smallest: all labels fall, until no child has two roots and no root is a child; as they only fall,
-    that comes. Rounds are written to the shared folder, the one before is removed; nothing is collected.
+    that comes. Rounds are written to the shared folder, by as many tasks as their edges ask for, and the one before is
+    removed; nothing is collected but counts.
     """
     edges = C.stage(edges.distinct())
     while True:
-        least = C.stage(edges.groupBy("child").agg(F.min("root").alias("root")))
+        tasks = 1 + edges.count() // EDGES
+        least = C.stage(edges.groupBy("child").agg(F.min("root").alias("root")).coalesce(tasks))
         up = least.select(F.col("child").alias("root"), F.col("root").alias("up"))
         jumped = least.join(up, "root", "left").select("child", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved"))
         rest = edges.join(least.withColumnRenamed("root", "low"), "child").where("root > low").select(F.col("root").alias("child"), F.col("low").alias("root"), F.lit(True).alias("moved"))
-        union = C.stage(jumped.unionByName(rest).groupBy("child", "root").agg(F.max("moved").alias("moved")))
+        union = C.stage(jumped.unionByName(rest).groupBy("child", "root").agg(F.max("moved").alias("moved")).coalesce(tasks))
         C.drop(edges, least)
         edges = union
         if union.where("moved").isEmpty():
