@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,14 @@ CACHE, SLICE = 400_000, 200_000
 _made: dict[object, object] = {}
 
 
+#: Segments beyond so many characters are cut further.
+LONG = 4096
+#: A cut before white space that follows something else is safe: no pre-token goes on over it, and what begins there is read alike.
+_GAP = re.compile(r"(?<=\S)(?=\s)")
+#: So is one where letters, digits and other signs change, but behind an apostrophe and at signs of special tokens.
+_TURN = re.compile(r"(?<=[^\W\d_])(?=\d)|(?<=\d)(?=[^\W\d_])|(?<=[^\W\d_])(?=[.,;:!?()])|(?<=[.,;:!?()])(?=[^\W\d_])")
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter that byte-level models have for each byte: its own where it has one, the next free from 256 on else."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -31,10 +41,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Memo:
-    """Encodes the segments between safe cuts by the library, each once while it is remembered.
+    """Encodes by the library: texts in batches (encode), or the segments between safe cuts, each once while it is remembered (sums).
 
-    make turns ids into what is kept, which must add up. Words of letters go to the library's merging model itself, as one
-    pre-token; all others through its whole pipeline. Two generations of at most CACHE words bound the memory."""
+    make turns ids into what is kept, which must add up. For sums, words of letters go to the library's merging model itself,
+    as one pre-token; all others through its whole pipeline. Two generations of at most CACHE words bound the memory."""
 
     def __init__(self, path: str, make):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,17 +56,41 @@ class Memo:
         self.make, self.model = make, self.library.model
         self.letters = _byte_letters()
         self.plain = _is_byte_level(path)
+        back = {c: b for b, c in self.letters.items()}
+        self.inner = {(back.get(a), back.get(b)) for t in self.library.get_vocab() for a, b in zip(t, t[1:], strict=False)} if self.plain else set()
         self.new: dict[str, object] = {}
         self.old: dict[str, object] = {}
         self.tails: dict[str, object] = {}
+        self.line = self.one("\n") if self.plain else None
         self.long: list[str] = []  # too long to remember beyond one call
 
     def encode(self, texts: list[str]) -> list:
-        return [self.make(e.ids) for at in range(0, len(texts), 4096) for e in self.library.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+        """What is kept of each text, encoded in batches; long ones between safe cuts."""
+        if self.plain and any(len(t) > LONG for t in texts):
+            pieces = [self.chunks(t) if len(t) > LONG else [t] for t in texts]
+            known = iter(self.encode_whole([c for p in pieces for c in p]))
+            return [reduce(add, [next(known) for _ in p]) for p in pieces]
+        return self.encode_whole(texts)
+
+    def encode_whole(self, texts: list[str]) -> list:
+        return [self.make(e.ids) for a, b in C.parts([len(t) + 64 for t in texts], 1 << 20) for e in self.library.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+
+    def chunks(self, text: str) -> list[str]:
+        """A text cut at safe places about LONG characters apart: at the first white space, turn or byte pair that no token holds; what has none stays whole."""
+        out, begin = [], 0
+        while len(text) - begin > LONG:
+            at = begin + LONG
+            m = _GAP.search(text, at, at + LONG) or _TURN.search(text, at, at + LONG)
+            cut = m.start() if m else next((k for k in range(at, min(len(text), at + 64 * LONG)) if (text[k - 1].encode()[-1], text[k].encode()[0]) not in self.inner and text[k - 1].isalpha() and text[k].isalpha()), None)
+            if cut is None or cut >= len(text):
+                cut = m2.start() if (m2 := _GAP.search(text, at + LONG) or _TURN.search(text, at + LONG)) else len(text)
+            out.append(text[begin:cut])
+            begin = cut
+        return [*out, text[begin:]] if begin < len(text) or not out else out
 
     def one(self, pre_token: str):
         """What is kept of a pre-token."""
-        return self.make([t.id for t in self.model.tokenize(pre_token if pre_token.isascii() and pre_token[0] != " " else pre_token.encode().decode("latin-1").translate(self.letters))])
+        return self.make([t.id for t in self.model.tokenize(pre_token if pre_token.isascii() and pre_token[0] > " " else pre_token.encode().decode("latin-1").translate(self.letters))])
 
     def learn(self, words: set[str]) -> dict[str, object]:
         """A dictionary that has all the words: of each, what is kept of it behind a space."""
@@ -64,31 +98,53 @@ class Memo:
             self.new.pop(w, None)
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
-        new, old, tails, slow = self.new, self.old, self.tails, []
+        new, old, slow = self.new, self.old, []
         missing = words.difference(new)
         for w in missing:
             if (v := old.get(w)) is not None:
                 new[w] = v
-                continue
-            stem = w.rstrip(TAIL)
-            if not (self.plain and stem.isalpha() and max(stem) < _LATIN):
+            elif "\n" in w:
+                first, *rest = w.split("\n")
+                v = self.letters_of(" ", first)
+                for part in rest:  # a line's end between two words is a pre-token of its own
+                    u = None if v is None else self.letters_of("", part)
+                    v = None if u is None else v + self.line + u
+                if v is None:
+                    slow.append(w)
+                else:
+                    new[w] = v
+            elif (v := self.letters_of(" ", w)) is not None:
+                new[w] = v
+            else:
                 slow.append(w)
-                continue
-            v = new.get(stem)
-            if v is None:
-                v = new[stem] = self.one(" " + stem)
-            if len(stem) < len(w):
-                tail = w[len(stem) :]
-                t = tails.get(tail)
-                if t is None:
-                    t = self.one(tail)
-                    if len(tail) < 16:
-                        tails[tail] = t
-                new[w] = v + t
         new.update(zip(slow, self.encode([" " + w for w in slow]), strict=True))
         self.long = [w for w in missing if len(w) > 100]
         return new
 
+    def letters_of(self, front: str, word: str):
+        """What is kept of a word of letters, with the punctuation behind it, in front of which a space may stand; None if it is another kind of word."""
+        stem = word.rstrip(TAIL)
+        if not (self.plain and stem.isalpha() and max(stem) < _LATIN):
+            return None
+        key = stem if front else "\n" + stem
+        v = self.new.get(key)
+        if v is None:
+            v = self.old.get(key)
+            if v is None:
+                v = self.one(front + stem)
+            self.new[key] = v
+        if len(stem) < len(word):
+            tail = word[len(stem) :]
+            t = self.tails.get(tail)
+            if t is None:
+                t = self.one(tail)
+                if len(tail) < 16:
+                    if len(self.tails) > 4096:
+                        self.tails.clear()
+                    self.tails[tail] = t
+            v = v + t
+        return v
+
     def sums(self, texts: list[str]) -> list[list]:
         """Of each text, what is kept of its segments, in order."""
         parts = [split(t) for t in texts]
@@ -133,8 +189,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     A path ending in .json goes to the tokenizers library, in .model to sentencepiece; begin, end and added special
     tokens are left out, special strings inside texts are handled as the library does by default. Rows keep their
-    partitions (no shuffle); within an Arrow batch, parts of about equal bytes are encoded together; longer texts are
-    encoded between safe cuts. Null text: empty, 0 bytes and 0 tokens. Null ids stay null; repeated rows each give a row;
+    partitions (no shuffle); within an Arrow batch, parts of about equal bytes are encoded together, and only their lengths
+    are kept; texts of more than LONG characters are cut at safe places. Null text: empty, 0 bytes and 0 tokens. Null ids stay null; repeated rows each give a row;
     an empty table gives an empty one; further columns are ignored.
     """
     C.session(docs)
@@ -158,7 +214,4 @@ def _lengths(path: str, texts: list[str]) -> list[int]:
 
             _made["sp", path] = sentencepiece.SentencePieceProcessor(model_file=path)
         return [len(x) for x in _made["sp", path].encode(texts, num_threads=1)]
-    m = memo(path, "n", len)
-    if not m.plain:
-        return m.encode(texts)
-    return [sum(x) for x in m.sums(texts)]
+    return memo(path, "n", len).encode(texts)
