@@ -28,6 +28,11 @@ def wrote(path: str) -> tuple[int, int]:
     return int(parts[1]), int(parts[2])
 
 
+def number(path: str) -> int:
+    """The number behind partition and attempt in a file's name."""
+    return int(path.rsplit("/", 1)[-1].split(".")[0].split("-")[3])
+
+
 class Output:
     """A binary file under construction; done() gives it its name."""
 

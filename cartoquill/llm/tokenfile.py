@@ -1,6 +1,6 @@
 """Token ids as binary shards (op 7): every document a frame of its own, under one trained Zstandard dictionary.
 
-A shard, little-endian: magic, dictionary SHA-256 (32 bytes, zeros without one), id width in bytes (u8); frames, one for a
+A shard, little-endian: magic, dictionary SHA-256 (32 bytes), id width in bytes (u8); frames, one for a
 document; the index, a frame of its own: doc_id i64[n], frame offset u64[n], tokens u64[n]; then index offset u64, n u64, magic.
 """
 
@@ -23,8 +23,11 @@ from . import files, tokens
 MAGIC = b"CQTOKEN1"
 HEAD, TAIL = "<8s32sB", "<QQ8s"
 NULL_ID = -(1 << 63)
-#: The dictionary is trained on this many documents at most (those with the smallest hashes of their ids) of at most so many bytes.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16384, 32768
+#: The dictionary is trained on one slice of each of this many documents at most (those with the smallest hashes of id and text),
+#: of at most so many characters, at a place that the hash chooses.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 16384, 32768
+#: A shard is closed when it holds so many bytes.
+SHARD_BYTES = 256 << 20
 
 
 def width_of(path: str) -> int:
@@ -33,21 +36,21 @@ def width_of(path: str) -> int:
     return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """A dictionary from serialized id arrays of a bounded sample; empty if there is too little to train on."""
+def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+    """A dictionary from serialized id arrays of a bounded sample of all documents. What the trainer refuses, as too little or too much alike, is a dictionary as it is."""
     import zstandard
 
-    texts = C.texts_of(docs, id_col, text_col).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    ids = [r["doc_id"] for r in texts.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    rows = texts.where(F.col("doc_id").isin(ids)).orderBy("doc_id", "text").limit(SAMPLE_DOCS).collect() if ids else []
+    h = F.xxhash64("doc_id", "text")
+    begin = F.pmod(h, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    texts = C.texts_of(docs, id_col, text_col).where("text <> ''")
+    rows = texts.select(h.alias("h"), F.substring(F.col("text"), begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("slice")).orderBy("h", "slice").limit(SAMPLE_DOCS).collect()
     kind = f"<u{width_of(tokenizer_path)}"
-    samples = [x.tobytes() for x in encode(tokenizer_path, [r["text"] for r in rows], kind)] if rows else []
-    if sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
-        return b""
+    samples = [x.tobytes() for x in encode(tokenizer_path, [r["slice"] for r in rows], kind)] if rows else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        ends = np.full(8, end_id or 0, kind).tobytes()
+        return (ends + b"".join(samples))[-DICTIONARY_BYTES:]
 
 
 def encode(path: str, texts: list[str], kind: str) -> list[np.ndarray]:
@@ -55,44 +58,75 @@ def encode(path: str, texts: list[str], kind: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(x), kind) for x in (m.sums(texts) if m.plain else zip(m.encode(texts), strict=True))]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes | None = None) -> list[tuple[int, int, int, int]]:
-    """Writes shards shard-PARTITION-ATTEMPT.cqt in ascending id order (ties by text); returns (shard, attempt, documents, tokens) of each.
+class Writer:
+    """One shard under construction."""
 
-    Rows are dealt by ranges of ids, sorted and encoded where they are written. Null text: only the end id; null ids come
-    first; repeated rows are each written; an empty table writes shards without documents or none.
-    """
-    spark = C.session(docs)
-    data = train_dictionary(docs, tokenizer_path, id_col, text_col) if dictionary is None else dictionary
-    kind = f"<u{width_of(tokenizer_path)}"
+    def __init__(self, folder: str, name: tuple[int, int, int], data: bytes, width: int):
+        import zstandard
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.out, self.name = files.Output(folder, "shard-{:06d}-{}-{:04d}.cqt".format(*name)), name
+        self.pack = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=True, write_dict_id=False)
+        self.index, self.total = [], 0
+        self.out.write(struct.pack(HEAD, MAGIC, hashlib.sha256(data).digest(), width))
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.index.append((NULL_ID if doc_id is None else doc_id, self.out.at, len(ids)))
+        self.total += len(ids)
+        self.out.write(self.pack.compress(ids.tobytes()))
+
+    def close(self) -> tuple[int, int, int, int, int]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(data) if data else None, write_content_size=True, write_dict_id=False)
-        shard, tried = files.attempt()
-        out, index, total = None, [], 0
+        at, table = self.out.at, np.array(self.index, np.int64).reshape(-1, 3)
+        self.out.write(zstandard.ZstdCompressor(level=3, write_content_size=True).compress(np.ascontiguousarray(table.T).astype("<i8").tobytes()))
+        self.out.write(struct.pack(TAIL, at, len(self.index), MAGIC))
+        self.out.done()
+        return (*self.name, len(self.index), self.total)
+
+
+def shards_of(docs: Iterator[tuple[int | None, np.ndarray]], folder: str, attempt: tuple[int, int], data: bytes, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Writes documents to shards of about SHARD_BYTES; yields what each holds."""
+    writer, number = None, 0
+    for doc_id, ids in docs:
+        writer = writer or Writer(folder, (*attempt, number), data, width)
+        writer.add(doc_id, ids)
+        if writer.out.at >= SHARD_BYTES:
+            yield writer.close()
+            writer, number = None, number + 1
+    if writer is not None:
+        yield writer.close()
+
+
+_WRITTEN = pa.schema([(x, pa.int64()) for x in ("shard", "attempt", "number", "n_docs", "n_tokens")])
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes | None = None) -> list[tuple[int, int, int, int, int]]:
+    """Writes shards shard-PARTITION-ATTEMPT-NUMBER.cqt in ascending id order; returns (partition, attempt, number, documents, tokens) of each.
+
+    Rows are dealt by ranges of ids, rows that share an id, or have none, by ranges of their first 64 characters and a hash of
+    the text; they are sorted so and encoded where they are written, a new shard after each SHARD_BYTES. Null text: only the end id; null ids come first; repeated rows are each written; very long texts are encoded
+    between safe cuts and are a frame of their own; an empty table writes nothing; further columns are ignored.
+    """
+    data = train_dictionary(docs, tokenizer_path, end_id, id_col, text_col) if dictionary is None else dictionary
+    width = width_of(tokenizer_path)
+    kind = f"<u{width}"
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         for batch in batches:
-            if out is None:
-                out = files.Output(folder, f"shard-{shard:06d}-{tried}.cqt")
-                out.write(struct.pack(HEAD, MAGIC, hashlib.sha256(data).digest() if data else bytes(32), int(kind[-1])))
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in C.parts([len(t) for t in texts], 1 << 20):
                 for i, x in zip(ids[a:b], encode(tokenizer_path, texts[a:b], kind), strict=True):
-                    if end_id is not None:
-                        x = np.append(x, np.array([end_id], kind))
-                    index.append((NULL_ID if i is None else i, out.at, len(x)))
-                    total += len(x)
-                    out.write(pack.compress(x.tobytes()))
-        if out is not None:
-            at = out.at
-            table = np.array(index, np.int64).reshape(-1, 3)
-            out.write(zstandard.ZstdCompressor(level=3, write_content_size=True).compress(np.ascontiguousarray(table.T).astype("<i8").tobytes()))
-            out.write(struct.pack(TAIL, at, len(index), MAGIC))
-            out.done()
-            yield C.table_rows(pa.schema([("shard", pa.int64()), ("attempt", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]), [(shard, tried, len(index), total)])
-
-    rows = C.texts_of(docs, id_col, text_col).repartitionByRange(C.deal(spark, 2), "doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(map(tuple, rows.mapInArrow(write, "shard long, attempt long, n_docs long, n_tokens long").collect()))
+                    yield i, x if end_id is None else np.append(x, np.array([end_id], kind))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done in shards_of(encoded(batches), folder, files.attempt(), data, width):
+            yield C.table_rows(_WRITTEN, [done])
+
+    rows = C.texts_of(docs, id_col, text_col)
+    n = C.buckets(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    order = [F.col("doc_id"), F.substring("text", 1, 64), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
+    return sorted(map(tuple, dealt.mapInArrow(write, "shard long, attempt long, number long, n_docs long, n_tokens long").collect()))
 
 
 class Shard:
@@ -105,32 +139,32 @@ class Shard:
         at, n, end = struct.unpack_from(TAIL, content, len(content) - struct.calcsize(TAIL))
         if magic != MAGIC or end != MAGIC:
             raise ValueError("not a token shard, or cut short")
-        if digest != (hashlib.sha256(dictionary).digest() if dictionary else bytes(32)):
+        if digest != hashlib.sha256(dictionary).digest():
             raise ValueError("the shard was written with another dictionary")
         raw = zstandard.ZstdDecompressor().decompress(content[at : len(content) - struct.calcsize(TAIL)])
         self.doc_ids, self.offsets, self.n_tokens = np.frombuffer(raw, "<i8").reshape(3, n)
         self.ends = np.append(self.offsets[1:], at)
         self.content = content
-        self.unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        self.unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
 
     def ids(self, k: int) -> np.ndarray:
         return np.frombuffer(self.unpack.decompress(self.content[self.offsets[k] : self.ends[k]]), f"<u{self.width}")
 
 
-def read_tokens(spark, folder: str, shards: list[tuple[int, int, int, int]], dictionary: bytes, with_ids: bool = False) -> DataFrame:
+def read_tokens(spark, folder: str, shards: list[tuple[int, int, int, int, int]], dictionary: bytes, with_ids: bool = False) -> DataFrame:
     """Per document of the shards: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of the ids as u32), and ids if asked for.
 
-    shards holds four numbers for each shard, as many as there were writing tasks."""
+    shards holds five numbers for each shard."""
     starts, total = {}, 0
-    for shard, tried, _, n in shards:
-        starts[shard, tried] = total
+    for shard, tried, number, _, n in shards:
+        starts[shard, tried, number] = total
         total += n
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                start = starts.get(files.wrote(path))
+                start = starts.get((*files.wrote(path), files.number(path)))
                 if start is None:
                     continue
                 shard = Shard(content.as_py(), dictionary)
@@ -151,7 +185,7 @@ def token_file(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_
     """Writes the token shards of all texts to a folder (a new shared one, if none is given) and reads them back; see write_tokens and read_tokens."""
     spark = C.session(docs)
     folder = folder or C.shared(spark)
-    dictionary = train_dictionary(docs, tokenizer_path, id_col, text_col)
+    dictionary = train_dictionary(docs, tokenizer_path, end_id, id_col, text_col)
     shards = write_tokens(docs, folder, tokenizer_path, end_id, id_col, text_col, dictionary)
     if shards:
         out = files.Output(folder, "dictionary.zdict")
