@@ -1,7 +1,7 @@
 """WARC records in seekable Zstandard bundles (op 8).
 
 A bundle: independent frames of some whole records each; a skippable frame with the record index (zstd of JSON lines
-[record id, frame, offset in the frame, length]); a skippable frame with the seek table of the seekable format."""
+[record identifier, frame, offset in the frame, length]); a skippable frame with the seek table of the seekable format."""
 
 from __future__ import annotations
 
@@ -31,10 +31,10 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
     """A response record, or a revisit of the page refers_to, with the headers of the full payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
     if url:
         head.append("WARC-Target-URI: " + quote(url, safe=":/?#[]@!$&'()*+,;=%~"))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -53,7 +53,7 @@ class Bundle:
         self.frame, self.size, self.seek, self.index, self.total = [], 0, [], [], 0
 
     def add(self, page_id: int | None, data: bytes) -> None:
-        self.index.append((page_id, len(self.seek), self.size, len(data)))
+        self.index.append((record_id(page_id), len(self.seek), self.size, len(data)))
         self.frame.append(data)
         self.size += len(data)
         if self.size >= FRAME_BYTES:
@@ -118,7 +118,7 @@ def _page(text: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[tuple[int, int, int]]:
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> list[tuple[int, int, int]]:
     """Writes bundle-PARTITION-ATTEMPT-NUMBER.warc.zst; returns (partition, attempt, records) of each task that wrote any.
 
     Of equal payloads (by SHA-1) of at least min_bytes, the rows with the largest id are responses, the others refer to
@@ -140,7 +140,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str =
                     bundle = Bundle(folder, f"bundle-{part:06d}-{tried}-{number:04d}.warc.zst")
                     number += 1
                 payload = (html or "").encode()
-                bundle.add(page_id, record(page_id, url, payload, size, base64.b32encode(bytes.fromhex(digest)).decode(), None if first is None or first == page_id else first))
+                bundle.add(page_id, record(page_id, url, payload, size, base64.b32encode(bytes.fromhex(digest)).decode(), None if first is None or first == page_id else first, date))
                 n += 1
                 if bundle.total >= BUNDLE_BYTES:
                     bundle.close()
@@ -165,7 +165,7 @@ def read_warc(spark, folder: str, written: list[tuple[int, int, int]]) -> DataFr
                 if files.wrote(path) not in taken:
                     continue
                 reader, rows, held, frame = Reader(content.as_py()), [], -1, b""
-                for page_id, k, at, size in reader.index():
+                for _, k, at, size in reader.index():
                     if k != held:
                         held, frame = k, reader.frame(k)
                     headers, block = parse(frame[at : at + size])
