@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transducer.encode_pieces(tables.table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"), with_ids=False)
+    return transducer.encode_pieces(tables.table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_substring_dedup, op4_nearest_neighbours, op5_simhash, op6_quality, op7_token_file, op8_warc, op9_licenses, op10_decontamination)}
 
+
+
+def _pattern(markup: str) -> str:
+    """A template as a regular expression over words, each with a space behind it, that starts behind a space."""
+    out = " "
+    for gap, mark, word in re.findall(r"<<(\d+)>>|(\[\[|\]\])|([0-9A-Za-z]+)", markup):
+        out += rf"(?:\S+ ){{0,{gap}}}" if gap else {"[[": "(?:", "]]": ")?"}.get(mark) or f"{word.lower()} "
+    return out
+
+
 #: DuckDB SQL of the queries that SQL can express at that size; the others are tested against brute force and round trips.
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": r"""
@@ -81,17 +92,15 @@ t AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS j FROM d),
 phrase AS (SELECT * FROM (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')) AS x(p, label)),
 place AS (SELECT doc_id, label, i - 1 AS i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), phrase WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS l FROM place GROUP BY doc_id),
-template AS (SELECT * FROM (VALUES
- ('mit-notice', ' released under the mit license '),
- ('mit-notice', ' permission is hereby granted free of charge to any person obtaining a copy of( \S+){0,12} to deal in( \S+){0,6} without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies '),
- ('apache-2.0', ' licensed under the apache license version 2 0 '),
- ('gpl-notice', ' licensed under the( gnu)? general public license '),
- ('gpl-notice', ' under the terms of the gnu general public license as published by the free software foundation( either)? version '),
- ('cc-by-nc-4.0', ' licensed under( a)?( creative commons)?( cc)?( attribution)? by nc 4 0 '),
- ('bsd-notice', ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ')) AS x(label, r)),
-more AS (SELECT doc_id, list(DISTINCT label) AS l FROM t, template WHERE regexp_matches(j, r) GROUP BY doc_id)
+template AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{label}', '{_pattern(markup)}')" for label, markup in licenses.TEMPLATES)
+    + r""") AS x(label, r)),
+hit AS (SELECT doc_id, label, j, regexp_extract(j, r) AS m FROM t, template WHERE regexp_matches(j, r)),
+run AS (SELECT doc_id, label, len(regexp_extract_all(substr(j, 1, instr(j, m) - 1), '\S+')) AS a, len(regexp_extract_all(m, '\S+')) AS n FROM hit),
+one AS (SELECT doc_id, label, a, a + n AS e FROM run QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY a, n DESC) = 1),
+more AS (SELECT doc_id, list(label) AS l, string_agg(label || ':' || a || '-' || e, ',' ORDER BY label) AS spans FROM one GROUP BY doc_id)
 SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word, coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
- coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(more.l, [])))), ','), '') AS labels, CASE WHEN more.l IS NOT NULL THEN 1.0 WHEN base.l IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(more.l, [])))), ','), '') AS labels, CASE WHEN more.l IS NOT NULL THEN 1.0 WHEN base.l IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE AS score, coalesce(spans, '') AS spans
 FROM t LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """,
     "op8_warc": """

@@ -17,15 +17,47 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 o
 # Phrases and their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Templates and their labels (fixed values): [[ ... ]] is optional wording, <<n>> stands for up to n words of any kind.
+# Templates and their labels (fixed values; the wording of the licences and notices): [[ ... ]] is optional wording, <<n>> stands for up to n words of any kind.
 TEMPLATES = (
     ("mit-notice", "[[this work is]] released under the mit license"),
     ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of <<12>> to deal in <<6>> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", """[[the]] [[mit license]] [[mit]] [[copyright <<16>>]] Permission is hereby granted, free of charge, to any person obtaining a copy of <<8>> (the "<<2>>"), to deal
+        in <<3>> without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of <<3>>, and to permit persons
+        to whom <<3>> is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included
+        in all copies or substantial portions of <<3>>. <<2>> is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of
+        merchantability, fitness for a particular purpose and noninfringement. In no event shall <<8>> be liable for any claim, damages or other liability, whether in an action of contract,
+        tort or otherwise, arising from, out of or in connection with <<3>> or the use or other dealings in <<3>> [[software]]"""),
+    ("mit-0", """[[mit no attribution]] [[copyright <<16>>]] Permission is hereby granted, free of charge, to any person obtaining a copy of <<8>> (the "<<2>>"), to deal in <<3>> without restriction,
+        including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of <<3>>, and to permit persons to whom <<3>> is furnished to do so.
+        <<2>> is provided "as is", without warranty of any kind"""),
+    ("isc", """[[isc license]] [[copyright <<16>>]] Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+        notice and this permission notice appear in all copies. The software is provided "as is" and <<6>> disclaims all warranties with regard to this software including all implied warranties of
+        merchantability and fitness. In no event shall <<6>> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or
+        profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software"""),
+    ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", """[[copyright <<16>>]] [[all rights reserved]] Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        [[1]] Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        [[2]] Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. [[[[3]] [[4]] Neither the name of <<12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written
+        permission.]] This software is provided by <<8>> "as is" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a
+        particular purpose are disclaimed. In no event shall <<8>> be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to,
+        procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or
+        tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage"""),
+    ("bsd-3-clause", """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution. [[3]] [[4]] Neither the name of <<12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"""),
     ("apache-2.0", "licensed under the apache license version 2.0 [[the license]]"),
+    ("apache-2.0-header", """[[copyright <<16>>]] Licensed under the Apache License, Version 2.0 [[(the "License")]]; you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        [[http https]] [[http]] [[https]] [[www]] apache org licenses LICENSE 2.0 [[html]] [[txt]] Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "as is" basis, without warranties or conditions of any kind, either express or implied. See the License for the specific language governing permissions and limitations under the License"""),
     ("gpl-notice", "[[this work is]] licensed under the [[gnu]] general public license [[version <<1>> [[or later]]]]"),
     ("gpl-notice", "under the terms of the gnu general public license as published by the free software foundation [[either]] version <<1>>"),
+    ("gpl-header", """[[This program]] <<6>> is free software [[:]] you can redistribute it and/or modify it under the terms of the GNU [[Lesser]] [[Affero]] General Public License as published by the Free Software
+        Foundation [[, either]] version <<2>> of the License [[, or (at your option) any later version]]. <<6>> is distributed in the hope that it will be useful, but without any warranty; without even the
+        implied warranty of merchantability or fitness for a particular purpose. See the GNU [[Lesser]] [[Affero]] General Public License for more details [[You should have received a copy of the GNU [[Lesser]]
+        [[Affero]] General Public License along with <<4>>]]"""),
     ("cc-by-nc-4.0", "licensed under [[a]] [[creative commons]] [[cc]] [[attribution]] by nc 4.0 [[international]]"),
-    ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+        compiled binary, for any purpose, commercial or non-commercial, and by any means"""),
 )
 
 
@@ -165,7 +197,7 @@ def places(joined: bytes, phrase: bytes) -> list[int]:
 
 
 def scan(text: bytes, phrases, automata) -> tuple:
-    """n_words, n_base, first_word, last_word, base labels, all labels, score of one text."""
+    """n_words, n_base, first_word, last_word, base labels, all labels, score, and of each template's label the first longest run it accepts, of one text."""
     words = words_of(text)
     joined = b" " + b" ".join(words) + b" "
     found, base = [], set()
@@ -173,28 +205,35 @@ def scan(text: bytes, phrases, automata) -> tuple:
         if at := places(joined, phrase):
             found += at
             base.add(label)
-    labels, score = set(base), 0.5 if base else 0.0
+    runs: dict[str, tuple[int, int]] = {}
     for a in automata:
-        if a.key in joined and any(a.accepts(words, k) for k in places(joined, a.key)):
-            labels.add(a.label)
-            score = 1.0
-    return len(words), len(found), min(found, default=None), max(found, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
+        if a.key in joined:
+            for k in places(joined, a.key):
+                if run := a.accepts(words, k):
+                    held = runs.get(a.label)
+                    runs[a.label] = min(run, held, key=lambda r: (r[0], -r[1])) if held else run
+                    break
+    score = 1.0 if runs else 0.5 if base else 0.0
+    spans = ",".join(f"{label}:{first}-{end}" for label, (first, end) in sorted(runs.items()))
+    return len(words), len(found), min(found, default=None), max(found, default=None), ",".join(sorted(base)), ",".join(sorted(base | runs.keys())), score, spans
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """Per row: doc_id, n_words, n_base (places of phrases), first_word and last_word (smallest and largest start, else null),
-    base_labels, labels (phrases and templates), score (1: a template's mandatory wording matches, 0.5: phrases only, 0: neither).
+    base_labels, labels (phrases and templates), score (1: a template's mandatory wording matches, 0.5: phrases only, 0: neither),
+    spans (label:first-end of the first run of words that each template's label accepts, with its optional wording).
 
-    Null text: empty, no words and labels. Places of different phrases that coincide each count. Rows keep their
-    partitions; repeated rows each give a row; an empty table an empty one; further columns are ignored.
+    Null text: empty, no words and labels. Places of different phrases that coincide each count. Very long texts are
+    searched whole, automata run only where their longest mandatory wording stands. Rows keep their partitions; repeated
+    rows each give a row; an empty table an empty one; further columns, of any name, are ignored.
     """
     C.session(docs)
     plain = [(b" ".join(words_of(p.encode())), label) for p, label in phrases]
     automata = [compile_template(*t) for t in templates]
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield C.table_rows(schema, [(i, *scan(t, plain, automata)) for i, t in zip(batch.column(0).to_pylist(), C.blobs(batch.column(1)), strict=True)])
 
-    return C.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return C.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
