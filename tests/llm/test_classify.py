@@ -34,6 +34,30 @@ def test_quality_odd_rows(spark):
     assert quality.quality_scores(docs.where("false"), labels).count() == 0
 
 
+def test_scores_are_the_discriminants(spark):
+    """The query against densities with inverted covariances, from the features of training rows."""
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    y = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    x = {i: np.array(quality.statistics(t)) for i, t in texts.items()}
+    train = [i for i in y if i in x and zlib.crc32(str(i).encode()) % 3 != 1]
+    both = np.array([x[i] for i in train])
+    mean, std = both.mean(axis=0), both.std(axis=0)
+    std = np.where(std < 1e-5, 1, std)
+    z = {c: (np.array([x[i] for i in train if y[i] == c]) - mean) / std for c in (0, 1)}
+    cov = {c: np.cov(z[c].T, bias=True) for c in z}
+    share = {c: len(z[c]) / len(train) for c in z}
+    pooled = np.diag(sum(share[c] * np.diag(cov[c]) for c in z))
+    s = {c: (1 - quality.SHRINK) * cov[c] + quality.SHRINK * pooled + quality.RIDGE * np.eye(len(mean)) for c in z}
+
+    def density(c, v):
+        d = (v - mean) / std - z[c].mean(axis=0)
+        return np.log((len(z[c]) + 1) / (len(train) + 2)) - 0.5 * np.linalg.slogdet(s[c])[1] - 0.5 * d @ np.linalg.inv(s[c]) @ d
+
+    for r in catalogue.op6_quality(spark, SF).collect():
+        gap = density(1, x[r["doc_id"]]) - density(0, x[r["doc_id"]])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(gap, -700, 700))), abs=1e-6)
+
+
 def test_quality_uses_only_training_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -74,6 +98,29 @@ def test_license_query(spark, same):
     same(catalogue.op9_licenses(spark, "/root/testdata/sf0.001"), catalogue.ORACLE_SQL["op9_licenses"], "/root/testdata/sf0.001")
 
 
+MIT = """MIT License  Copyright (c) 2020 Jane Doe and others
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_licenses_with_their_optional_and_replaceable_wording(spark, same, tmp_path):
+    changed = [MIT, MIT.replace("ANY CLAIM", "SOME CLAIM"), MIT.replace("the Software", "the Work of Art"), MIT.replace("this permission notice shall", "this permission notice (including the next paragraph) shall"), "noise " * 30_000 + MIT + " more", "This work is licensed under the GNU General Public License version 3 or later.", "licensed under the general public license"]
+    docs = spark.createDataFrame(list(enumerate(changed)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs).collect()}
+    assert [("mit" in got[i]["labels"].split(",")) for i in range(5)] == [True, False, True, True, True]
+    n = len(licenses.words_of(MIT.encode()))
+    assert got[0]["spans"].startswith(f"mit:0-{n},") and got[4]["spans"].startswith(f"mit:30000-{30_000 + n},")
+    assert got[5]["spans"] == "gpl-notice:0-13" and got[6]["spans"] == "gpl-notice:0-6"
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = c.sql(catalogue.ORACLE_SQL["op9_licenses"])
+    assert {r[0]: dict(zip(found.columns, r, strict=True)) for r in found.fetchall()} == {i: r.asDict() for i, r in got.items()}
+
+
 def test_templates():
     a = licenses.compile_template("t", "[[this work is]] licensed under <<2>> license [[version <<1>> [[or later]]]]")
     w = lambda s: s.split()

@@ -46,7 +46,21 @@ def test_counts_of_sentencepiece(odd):
 @settings(max_examples=300, deadline=None)
 @given(pieces)
 def test_segments_encode_as_the_whole(text):
-    assert tokens._lengths(BPE, [text]) == [len(library_once().encode(text, add_special_tokens=False).ids)]
+    n = len(library_once().encode(text, add_special_tokens=False).ids)
+    assert tokens._lengths(BPE, [text]) == [n]
+    assert [sum(x) for x in tokens.memo(BPE, "n", len).sums([text])] == [n]
+
+
+@settings(max_examples=300, deadline=None)
+@given(pieces.map(lambda t: t * 5))
+def test_cuts_are_safe(text):
+    long, tokens.LONG = tokens.LONG, 7
+    try:
+        m = tokens.memo(BPE, "n", len)
+        assert "".join(m.chunks(text)) == text
+        assert m.encode([text]) == [len(library_once().encode(text, add_special_tokens=False).ids)]
+    finally:
+        tokens.LONG = long
 
 
 _once = []
@@ -94,9 +108,8 @@ def test_short_document_access_and_dictionary(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     data = tokenfile.train_dictionary(docs, BPE)
     assert data == tokenfile.train_dictionary(docs, BPE)
-    data = data or b"".join(x.tobytes() for x in tokenfile.encode(BPE, [r["text"] for r in docs.orderBy("doc_id").limit(20).collect()], "<u2"))
     shards = tokenfile.write_tokens(docs, str(tmp_path), BPE, dictionary=data)
-    assert sum(s[2] for s in shards) == docs.count()
+    assert sum(s[3] for s in shards) == docs.count()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for p in tmp_path.glob("shard-*.cqt"):
         s = tokenfile.Shard(p.read_bytes(), data)
@@ -107,12 +120,47 @@ def test_short_document_access_and_dictionary(spark, tmp_path):
         with pytest.raises(ValueError):
             tokenfile.Shard(p.read_bytes()[:-1], data)
     one = sorted(tmp_path.glob("shard-*.cqt"))[0]
-    (tmp_path / f"{one.name.rsplit('-', 1)[0]}-999999.cqt").write_bytes(one.read_bytes())  # left by an attempt that was lost
+    kind, part, _, number = one.name.split("-")
+    (tmp_path / f"{kind}-{part}-999999-{number}").write_bytes(one.read_bytes())  # left by an attempt that was lost
     assert tokenfile.read_tokens(spark, str(tmp_path), shards, data).count() == docs.count()
     ids = tokenfile.read_tokens(spark, str(tmp_path), shards, data, with_ids=True).where("doc_id = 5").first()["ids"]
     assert library_once().decode(ids[:-1]) == texts[5]
 
 
+@pytest.mark.parametrize("texts", [["a"], ["", ""], ["one word more"] * 3, ["the same text again " * 40] * 200])
+def test_small_tables_have_a_dictionary_too(spark, tmp_path, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    data = tokenfile.train_dictionary(docs, BPE)
+    assert len(data) >= 8
+    back = tokenfile.read_tokens(spark, str(tmp_path / "x"), tokenfile.write_tokens(docs, str(tmp_path / "x"), BPE, dictionary=data), data, with_ids=True)
+    assert {r["doc_id"]: library_once().decode(r["ids"][:-1]) for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_shards_are_bounded(monkeypatch, tmp_path):
+    """A task's documents go on in a new shard when one is full."""
+    monkeypatch.setattr(tokenfile, "SHARD_BYTES", 400)
+    r = np.random.default_rng(0)
+    done = list(tokenfile.shards_of(((k, r.integers(0, 50_000, 300).astype("<u2")) for k in range(9)), str(tmp_path), (3, 5), b"x" * 8, 2))
+    assert len(done) == 9 and [d[:4] for d in done] == [(3, 5, k, 1) for k in range(9)]
+    assert len(list(tmp_path.glob("shard-000003-5-*.cqt"))) == 9
+
+
+def test_query_against_the_library(spark):
+    from cartoquill.llm import catalogue
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in catalogue.op7_token_file(spark, "/root/testdata/sf0.001").collect():
+        ids = np.array([*library_once().encode(docs[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+    for r in catalogue.op1_token_counts(spark, "/root/testdata/sf0.001").collect():
+        assert r["n_tokens"] == len(library_once().encode(docs[r["doc_id"]], add_special_tokens=False).ids)
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for r in catalogue.op2_sentencepiece(spark, "/root/testdata/sf0.001").collect():
+        assert r["ids"] == m.encode(docs[r["doc_id"]])
+
+
 def test_query_starts_follow_each_other(spark):
     from cartoquill.llm import catalogue
 
@@ -174,6 +222,51 @@ def test_piece_query(odd):
     assert rows[99]["n_ids"] == 0
 
 
+def proto(n, v):
+    def varint(x):
+        return bytes([x]) if x < 128 else bytes([x & 127 | 128]) + varint(x >> 7)
+
+    if isinstance(v, int):
+        return varint(n << 3) + varint(v)
+    return varint(n << 3 | 5) + np.float32(v).tobytes() if isinstance(v, float) else varint(n << 3 | 2) + varint(len(v)) + v
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_models_of_both_kinds_against_the_library(tmp_path, seed):
+    """Unigram and BPE models with and without byte fallback, rules, a dummy prefix, squeezing; the pieces are made up, not trained."""
+    import random
+
+    import sentencepiece
+
+    r = random.Random(seed)
+    kind, fallback, squeeze, dummy = 1 + seed % 2, seed // 2 % 2, r.choice([0, 1]), r.choice([0, 1])
+    rules = dict(transducer._fields(dict(transducer._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]))[2]
+    words = {"▁": -2.0} | {c: -r.random() * 5 - 3 for c in "abcdeABüéf"}
+    for _ in range(60):
+        words.setdefault(r.choice(["", "▁"]) + "".join(r.choice("abcde") for _ in range(r.randrange(1, 5))), -r.random() * 9 - 1)
+    if kind == 2:
+        words = {w: -float(i) for i, w in enumerate(words)}
+    made = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256 * fallback)), *((w, s, 1) for w, s in words.items())]
+    if kind == 1 and "cde" not in words:
+        made.append(("cde", 0.0, 4))
+    body = b"".join(proto(1, proto(1, t.encode()) + proto(2, s) + proto(3, k)) for t, s, k in made)
+    spec = proto(1, b"x") + (proto(2, rules) if seed % 3 else b"") + proto(3, dummy) + proto(4, squeeze) + proto(5, 1)
+    (tmp_path / "m.model").write_bytes(body + proto(2, proto(3, kind) + proto(35, fallback)) + proto(3, spec))
+    m, t = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model")), transducer.Transducer(str(tmp_path / "m.model"))
+    for _ in range(400):
+        text = "".join(r.choice("abcdeab  cdeABf ｆﬁ①Å　\tüéz😀▁") for _ in range(r.randrange(0, 25)))
+        assert t.encode(text).tolist() == m.encode(text)
+        assert t.decode(m.encode(text)) == m.decode(m.encode(text))
+
+
+def test_long_texts_without_spaces(machine):
+    t, m = machine
+    for text in ("\n".join(["word"] * 30_000), "中文字" * 40_000, "ab" * 100_000):
+        assert t.encode(text).tolist() == m.encode(text)
+        assert tokens._lengths(BPE, [text]) == [len(library_once().encode(text, add_special_tokens=False).ids)]
+        assert len(tokens.memo(BPE, "n", len).chunks(text)) > 10 or "ab" in text
+
+
 def test_other_models_are_refused(tmp_path):
     (tmp_path / "m.model").write_bytes(b"")
     with pytest.raises(ValueError):
