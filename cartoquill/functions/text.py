@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What str.strip and str.split take for white space (fixed values).
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Longest token sequence that order-aware models read.
 MAX_TOKENS = 40
 
 
 def clean(c: Column) -> Column:
     """Stripped and lower-cased."""
-    return F.lower(F.trim(c))
+    return F.lower(F.btrim(c, F.lit(SPACES)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,7 +42,7 @@ def char_ngrams(c: Column, n: int = 2) -> Column:
 
 def words(c: Column) -> Column:
     """Runs of other characters than white space, lower-cased, in order."""
-    return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(c), f"[{SPACES}]+"), lambda w: w != "")
 
 
 def hybrid_tokens(c: Column, n: int = 2, tokenizer: Callable[[Column], Column] = words) -> Column:
@@ -69,38 +72,29 @@ def word_ngrams(tokens: Column, n: int, lower: bool = True) -> Column:
 
 
 def token_offsets(c: Column) -> Column:
-    """(token, start, end) of the regex tokens, in characters from 0; tokens are sought one after the other."""
-    tokens = regex_tokens(c)
-    empty = F.array().cast("array<struct<token:string,start:int,end:int>>")
-    return F.aggregate(
-        tokens,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, t: F.struct(
-            (F.call_function("locate", t, c, acc["at"] + 1) - 1 + F.length(t)).cast("int").alias("at"),
-            F.concat(acc["out"], F.array(F.struct(t.alias("token"), (F.call_function("locate", t, c, acc["at"] + 1) - 1).cast("int").alias("start"), (F.call_function("locate", t, c, acc["at"] + 1) - 1 + F.length(t)).cast("int").alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    """(token, start, end) of the regex tokens, in characters from 0; in one pass over each text, in Arrow batches."""
+
+    @F.pandas_udf("array<struct<token:string,start:int,end:int>>")
+    def of(texts: pd.Series) -> pd.Series:
+        import regex
+
+        found = regex.compile(r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]")
+        return texts.map(lambda t: None if t is None else [{"token": m[0], "start": m.start(), "end": m.end()} for m in found.finditer(t)])
+
+    return of(c)
 
 
 def entity_groups(tagged: Column, outside: str = "O") -> Column:
-    """Runs of equal tags other than `outside` in an array of (token, tag): (text, tag)."""
-    start = F.array().cast("array<struct<text:string,tag:string>>")
-    return F.aggregate(
-        tagged,
-        F.struct(start.alias("out"), F.lit(outside).alias("last")),
-        lambda acc, t: F.struct(
-            F.when(t["tag"] == outside, acc["out"])
-            .when(
-                t["tag"] == acc["last"],
-                F.concat(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.struct(F.concat_ws(" ", F.element_at(acc["out"], -1)["text"], t["token"]).alias("text"), t["tag"].alias("tag")))),
-            )
-            .otherwise(F.concat(acc["out"], F.array(F.struct(t["token"].alias("text"), t["tag"].alias("tag")))))
-            .alias("out"),
-            t["tag"].alias("last"),
-        ),
-        lambda acc: acc["out"],
-    )
+    """Runs of equal tags other than `outside` in an array of (token, tag): (text, tag).
+
+    A run begins where the tag differs from the one before; each begin takes the tokens up to the next change."""
+    n = F.size(tagged)
+    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    tag = lambda i: F.get(tagged, i)["tag"]
+    changes = F.filter(at, lambda i: (n > 0) & ((i == 0) | ~F.equal_null(tag(i), tag(i - 1))))
+    ends = F.concat(F.slice(changes, F.lit(2), F.greatest(F.size(changes) - 1, F.lit(0))), F.array(n))
+    runs = F.filter(F.transform(changes, lambda a, i: F.struct(a.alias("a"), F.get(ends, i).alias("b"))), lambda r: tag(r["a"]) != outside)
+    return F.transform(runs, lambda r: F.struct(F.array_join(F.transform(F.slice(tagged, r["a"] + 1, r["b"] - r["a"]), lambda t: t["token"]), " ").alias("text"), tag(r["a"]).alias("tag")))
 
 
 def normal_document(c: Column) -> Column:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import numeric
 from .lexical import best
 
 
@@ -27,46 +28,139 @@ def unit(rows: DataFrame, vector: str = "v") -> DataFrame:
     return rows.withColumn("_n", n).withColumn(vector, F.when(F.col("_n") > 0, F.transform(vector, lambda x: x / F.col("_n")))).drop("_n").where(F.col(vector).isNotNull())
 
 
-def cosine_pairs(corpus: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
-    """(query_id, vec_id, score) of all queries with all vectors of the corpus.
-
-    Both are scaled to unit length once. Queries, a stated set, go to the tasks as matrices of at most `block` rows; each
-    Arrow batch of the corpus is one matrix product with each of them.
-    """
-    spark = corpus.sparkSession
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """The queries, a stated set, as unit vectors: ids and a matrix of at most about `block` rows."""
     q = unit(queries).select("vec_id", "v")
-    c = unit(corpus).select("vec_id", "v")
     n = -(-q.count() // block)
-    out = None
     for k in range(n):
         rows = q.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == k).orderBy("vec_id").collect()
-        held = spark.sparkContext.broadcast(([r["vec_id"] for r in rows], np.array([r["v"] for r in rows], float)))
+        if rows:
+            yield [r["vec_id"] for r in rows], np.array([r["v"] for r in rows], float)
+
+
+def _matrix(batch: pa.RecordBatch, name: str = "v") -> np.ndarray:
+    v = batch.column(batch.schema.get_field_index(name))
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+class Best:
+    """The k best of each query seen so far: by score (to nine places), then by the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.id = k, np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        score = np.concatenate((self.score, score), axis=1)
+        ids = np.concatenate((self.id, np.broadcast_to(ids, (len(score), len(ids)))), axis=1)
+        order = np.lexsort((ids, -np.round(score, 9)), axis=1)[:, : self.k]
+        self.score, self.id = np.take_along_axis(score, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+    def rows(self, queries: list[int]) -> pa.RecordBatch:
+        some = np.isfinite(self.score)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, some.sum(axis=1)), pa.int64()), pa.array(self.id[some]), pa.array(self.score[some])], names=["query_id", "vec_id", "score"])
+
+
+def _scanned(corpus: DataFrame, columns: list[str], start, see, end, schema: str) -> DataFrame:
+    """Of each task: end(state) after see(state, unit vectors, batch) of all its batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = start()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                see(state, _matrix(part), part)
+        yield end(state)
+
+    return unit(corpus).select("vec_id", "v", *columns).mapInArrow(run, schema)
+
+
+def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 100, block: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score: the k vectors of the corpus with the largest cosine, but for the query's own id.
+
+    Both are scaled to unit length once. Queries go to the tasks in blocks, each batch of the corpus is a matrix product with
+    them, and a task passes on its k best of each query alone.
+    """
+    out = []
+    for ids, m in _blocks(queries, block):
+        held = corpus.sparkSession.sparkContext.broadcast((ids, m))
+
+        def see(state: Best, x: np.ndarray, batch: pa.RecordBatch, held=held) -> None:
+            own, q = held.value
+            vec = batch.column(0).to_numpy()
+            state.add(np.where(np.asarray(own)[:, None] == vec[None, :], -np.inf, q @ x.T), vec)
+
+        out.append(_scanned(corpus, [], lambda held=held: Best(len(held.value[0]), k), see, lambda s, held=held: s.rows(held.value[0]), PAIRS))
+    return best(_all(corpus, out, PAIRS), k, item="vec_id")
+
+
+PAIRS = "query_id long, vec_id long, score double"
+
+
+def _all(rows: DataFrame, parts: list[DataFrame], schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], schema)
+
+
+def cosine_distance_topk(corpus: DataFrame, queries: DataFrame, d_norm: DataFrame, k: int = 100, alpha: float = 0.4, how: str = "max", block: int = 4096) -> DataFrame:
+    """Cosine over its maximum per query (how: max) or between minimum and maximum (min_max), fused with distance. Both sides hold x, y.
+
+    One pass over the corpus finds each query's extremes, a second the k best; no pair of a query and a vector is a row."""
+    spark, out = corpus.sparkSession, []
+    norm = d_norm.first()["d_norm"]
+    at = {r["vec_id"]: (r["x"], r["y"]) for r in queries.select("vec_id", "x", "y").collect()}
+    for ids, m in _blocks(queries, block):
+        held = spark.sparkContext.broadcast((np.array(ids), m, np.array([at[i] for i in ids], float)))
+
+        def scores(x: np.ndarray, batch: pa.RecordBatch, held=held) -> tuple[np.ndarray, np.ndarray]:
+            own, q, _ = held.value
+            return q @ x.T, own[:, None] == batch.column(0).to_numpy()[None, :]
+
+        def see(state: list, x: np.ndarray, batch: pa.RecordBatch, scores=scores) -> None:
+            s, same = scores(x, batch)
+            state.append((np.where(same, np.inf, s).min(axis=1), np.where(same, -np.inf, s).max(axis=1)))
+
+        def end(state: list, held=held) -> pa.RecordBatch:
+            own = held.value[0] if state else held.value[0][:0]
+            low, high = (np.stack([x[j] for x in state]) for j in (0, 1)) if state else (np.zeros((1, 0)), np.zeros((1, 0)))
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(low.min(axis=0)), pa.array(high.max(axis=0))], names=["query_id", "low", "high"])
+
+        found = {r["query_id"]: (r["low"], r["high"]) for r in _scanned(corpus, [], list, see, end, "query_id long, low double, high double").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+        range_ = spark.sparkContext.broadcast(np.array([found.get(i, (0.0, 1.0)) for i in ids], float))
+
+        def fused(state: Best, x: np.ndarray, batch: pa.RecordBatch, held=held, range_=range_, scores=scores) -> None:
+            s, same = scores(x, batch)
+            low, high = range_.value[:, :1], range_.value[:, 1:]
+            text = s / (high + 1e-6) if how == "max" else (s - low) / np.where(high > low, high - low, 1)
+            x0, y0 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("x", "y"))
+            place = held.value[2]
+            dist = np.sqrt((place[:, :1] - x0[None, :]) ** 2 + (place[:, 1:] - y0[None, :]) ** 2)
+            state.add(np.where(same, -np.inf, (1 - alpha) * (1 - dist / norm) + alpha * text), batch.column(0).to_numpy())
 
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, m = held.value
-            for batch in batches:
-                for a in range(0, len(batch), 1024):
-                    part = batch.iloc[a : a + 1024]
-                    s = m @ np.stack(part["v"].to_numpy()).T
-                    yield pd.DataFrame({"query_id": np.repeat(ids, len(part)), "vec_id": np.tile(part["vec_id"].to_numpy(), len(ids)), "score": s.ravel()})
+        out.append(_scanned(corpus, ["x", "y"], lambda held=held: Best(len(held.value[0]), k), fused, lambda s, held=held: s.rows(held.value[0].tolist()), PAIRS))
+    return best(_all(corpus, out, PAIRS), k, item="vec_id")
 
-        pairs = c.mapInPandas(run, "query_id long, vec_id long, score double")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out if out is not None else spark.createDataFrame([], "query_id long, vec_id long, score double")
 
+def positive_ranks(corpus: DataFrame, queries: DataFrame, positives: DataFrame, block: int = 4096) -> DataFrame:
+    """(query_id, item, nll, rank, hit) as metrics.positive_ranks has them, of cosines: a task passes on sums and counts of each query alone. positives: (query_id, vec_id), one for each query."""
+    p = positives.join(unit(corpus).select("vec_id", F.col("v").alias("pv")), "vec_id").join(unit(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+    p = p.select("query_id", F.col("vec_id").alias("item"), dot(F.col("qv"), F.col("pv")).alias("s"))
+    held_s, out = {r["query_id"]: r["s"] for r in p.collect()}, []
+    for ids, m in _blocks(queries, block):
+        held = corpus.sparkSession.sparkContext.broadcast((np.array(ids), m, np.array([held_s.get(i, np.nan) for i in ids])))
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
-    return best(cosine_pairs(corpus, queries), k, item="vec_id")
+        def see(state: list, x: np.ndarray, batch: pa.RecordBatch, held=held) -> None:
+            own, q, s = held.value
+            score, other = q @ x.T, own[:, None] != batch.column(0).to_numpy()[None, :]
+            state.append((np.where(other, np.exp(score - 1), 0).sum(axis=1), (other & (np.round(score, 9) > np.round(s, 9)[:, None])).sum(axis=1)))
 
+        def end(state: list, held=held) -> pa.RecordBatch:
+            own = held.value[0] if state else held.value[0][:0]
+            total, above = (sum(x[j] for x in state) if state else np.zeros(0) for j in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(total, pa.float64()), pa.array(np.asarray(above, np.int64))], names=["query_id", "total", "above"])
 
-def cosine_distance_topk(corpus: DataFrame, queries: DataFrame, d_norm: DataFrame, k: int = 100, alpha: float = 0.4, how: str = "max") -> DataFrame:
-    """Cosine over its maximum per query (how: max) or between minimum and maximum (min_max), fused with distance. Both sides hold x, y."""
-    c = corpus.select("vec_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    q = queries.select(F.col("vec_id").alias("query_id"), "x", "y")
-    pairs = cosine_pairs(corpus, queries).join(c, "vec_id").join(q, "query_id").crossJoin(F.broadcast(d_norm.select("d_norm")))
-    text = numeric.max_norm(F.col("score"), "query_id") if how == "max" else numeric.min_max(F.col("score"), "query_id")
-    d = numeric.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
-    return best(pairs.withColumn("score", numeric.linear(alpha, d, F.col("d_norm"), text)), k, item="vec_id")
+        out.append(_scanned(corpus, [], list, see, end, "query_id long, total double, above long"))
+    sums = _all(corpus, out, "query_id long, total double, above long").groupBy("query_id").agg(F.sum("total").alias("total"), F.sum("above").alias("above"))
+    rank = (F.col("above") + 1).cast("int")
+    return p.join(sums, "query_id").select("query_id", "item", (F.ln("total") + 1 - F.col("s")).alias("nll"), rank.alias("rank"), (rank == 1).cast("int").alias("hit"))
 
 
 def mean_pool(tokens: DataFrame, id_col: str, vector: str = "v", mask: str = "mask") -> DataFrame:

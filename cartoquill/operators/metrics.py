@@ -94,9 +94,10 @@ SCHEMES: dict[str, Callable[[], Column]] = {
 
 
 def lambda_loss(slates: DataFrame, k: int | None = None, scheme: str = "none", sigma: float = 1.0, natural: bool = False) -> DataFrame:
-    """(query_id, loss, pairs): sums over pairs among the k best-scored with yi > yj of -log(max(sigmoid(si - sj), eps) ** weight, eps).
+    """(query_id, loss, pairs): sums over pairs among the k best-scored of -log(max(sigmoid(si - sj), eps) ** weight, eps).
 
-    slates: query_id, item, score, label. Ties of scores go to the smaller item. Queries without such a pair have none.
+    Pairs are those with yi > yj; ndcgLoss1, whose weights ask for the first place alone, takes all pairs, an item with itself
+    too. slates: query_id, item, score, label. Ties of scores go to the smaller item. Queries without a pair have no row.
     """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
     ranked = slates.select("query_id", "item", F.col("score").cast("double").alias("score"), F.col("label").cast("double").alias("label")).withColumn("rank", F.row_number().over(w))
@@ -109,12 +110,20 @@ def lambda_loss(slates: DataFrame, k: int | None = None, scheme: str = "none", s
     if k:
         ranked = ranked.where(F.col("rank") <= k)
     side = lambda s: ranked.select("query_id", F.col("rank").alias(f"r{s}"), F.col("score").alias(f"s{s}"), F.col("label").alias(f"y{s}"), F.col("gain").alias(f"g{s}"))
-    pairs = side("i").join(side("j"), "query_id").where("yi > yj")
+    pairs = side("i").join(side("j"), "query_id").where("true" if scheme == "ndcgLoss1" else "yi > yj")
     p = F.greatest(1 / (1 + F.exp(-sigma * (F.col("si") - F.col("sj")))), F.lit(EPS))
     term = F.greatest(F.pow(p, SCHEMES[scheme]()), F.lit(EPS))
     return pairs.groupBy("query_id").agg(F.sum(-(F.ln(term) if natural else F.log2(term))).alias("loss"), F.count("*").alias("pairs"))
 
 
+def by_depth(slates: DataFrame, weights: list[float], scheme: str = "none", k: int | None = None) -> DataFrame:
+    """(depth, loss, pairs, weighted): the loss of each depth's slates, and that times the depth's weight; depths beyond the weights weigh 1. slates: depth, query_id, item, score, label."""
+    keyed = slates.withColumn("of", F.struct("depth", "query_id")).select("depth", F.col("of").alias("query_id"), "item", "score", "label")
+    per = lambda_loss(keyed.drop("depth"), k, scheme).withColumn("depth", F.col("query_id")["depth"])
+    weight = F.coalesce(F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("depth")), F.lit(1.0)) if weights else F.lit(1.0)
+    return per.groupBy("depth").agg(F.sum("loss").alias("loss"), F.sum("pairs").alias("pairs")).select("depth", F.round("loss", 6).alias("loss"), "pairs", F.round(F.col("loss") * weight, 6).alias("weighted"))
+
+
 def reduced(losses: DataFrame, how: str = "sum") -> DataFrame:
     total = F.sum("loss")
     return losses.agg(F.round(total if how == "sum" else total / F.sum("pairs"), 6).alias("loss"), F.sum("pairs").alias("pairs"))

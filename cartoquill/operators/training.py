@@ -1,39 +1,62 @@
-"""Training on slates that Spark makes: the fusion's four parameters by gradient descent on the pair loss, on the driver."""
+"""Training on slates that Spark makes: the fusion's four parameters by gradient descent on the pair loss, summed on the executors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stores import materialise
+
 
-def pair_loss(p: np.ndarray, z: np.ndarray, near: np.ndarray, positive: np.ndarray, group: np.ndarray) -> tuple[float, np.ndarray]:
-    """Loss -log sigmoid(s_i - s_j) over pairs of a query's positives and others, and its gradient by (a, b, c, d)."""
+def pair_sums(p: np.ndarray, z: np.ndarray, near: np.ndarray, positive: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Number of pairs of a query's positives and others, the sum of -log sigmoid(s_i - s_j) over them, and its gradient by (a, b, c, d)."""
     a, b, c, d = p
     g = 1 / (1 + np.exp(-(a * z + b)))
     s = (c - g) * (near - d)
     slope = np.stack([-g * (1 - g) * z * (near - d), -g * (1 - g) * (near - d), near - d, -(c - g)], axis=1)
-    loss, grad, n = 0.0, np.zeros(4), 0
+    out = np.zeros(6)
     for q in np.unique(group):
         i, j = np.flatnonzero((group == q) & positive), np.flatnonzero((group == q) & ~positive)
         if len(i) and len(j):
-            gap = s[i][:, None] - s[j][None, :]
-            wrong = 1 / (1 + np.exp(np.clip(gap, -50, 50)))
-            loss += np.log1p(np.exp(-np.clip(gap, -50, 50))).sum()
-            grad += -(wrong.sum(axis=1) @ slope[i]) + wrong.sum(axis=0) @ slope[j]
-            n += gap.size
-    return loss / max(1, n), grad / max(1, n)
-
-
-def fit_fusion(slates: DataFrame, steps: int = 200, rate: float = 0.05, most: int = 200_000) -> tuple[dict[str, float], list[float]]:
-    """(a, b, c, d) and the loss at each step. slates: query_id, z, near, label. At most `most` rows, of the queries with the smallest hashes, are taken to the driver."""
-    rows = slates.orderBy(F.xxhash64("query_id"), "query_id").limit(most).select("query_id", "z", "near", "label").toPandas()
-    z, near, y, group = (rows[c].to_numpy() for c in ("z", "near", "label", "query_id"))
+            gap = np.clip(s[i][:, None] - s[j][None, :], -50, 50)
+            wrong = 1 / (1 + np.exp(gap))
+            out[0] += gap.size
+            out[1] += np.log1p(np.exp(-gap)).sum()
+            out[2:] += -(wrong.sum(axis=1) @ slope[i]) + wrong.sum(axis=0) @ slope[j]
+    return out
+
+
+def fit_fusion(slates: DataFrame, steps: int = 200, rate: float = 0.05) -> tuple[dict[str, float], list[float]]:
+    """(a, b, c, d) and the loss at each step, by full-batch gradient descent (Adam). slates: query_id, z, near, label.
+
+    Slates are written once, whole and side by side; each step sums losses and gradients of all queries on the executors and
+    only the parameters and five sums travel. A query without a positive or without others counts nothing.
+    """
+    kept = materialise(slates.groupBy("query_id").agg(F.collect_list(F.struct("z", "near", "label")).alias("slate")))
     p, m, v, losses = np.array([1.0, 0.0, 1.0, 0.0]), np.zeros(4), np.zeros(4), []
     for t in range(1, steps + 1):
-        loss, grad = pair_loss(p, z, near, y == 1, group)
+        loss, grad = _step(kept, p)
         losses.append(loss)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         p[0] = max(p[0], 1e-3)
     return dict(zip("abcd", p.tolist(), strict=True)), losses
+
+
+def _step(kept: DataFrame, p: np.ndarray) -> tuple[float, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(6)
+        for batch in batches:
+            lists = batch.column(0)
+            group = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            z, near, y = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(float) for k in range(3))
+            total += pair_sums(p, z, near, y == 1, group)
+        yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in total], names=["n", "loss", "a", "b", "c", "d"])
+
+    sums = kept.select("slate").mapInArrow(run, "n double, loss double, a double, b double, c double, d double")
+    n, loss, *grad = sums.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in sums.columns]).first()
+    return loss / max(1.0, n), np.array(grad) / max(1.0, n)

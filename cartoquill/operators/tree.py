@@ -1,16 +1,18 @@
-"""The spatial tree: nodes of a level share a grid cell, in chunks of the tree's width; inner nodes hold union filters and circles."""
+"""The spatial tree: nodes of a level share a grid cell or a cluster, in chunks of the tree's width; inner nodes hold union filters and circles."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bloom
-from ..functions.geo import circled, knn_join
-from ..sources.stores import materialise
+from ..functions.geo import circled, knn_join, snapped
+from ..sources.stores import materialise, numbered
 
 WIDTH, KEEP = 8, 4
-#: Chunks of a cell have numbers below this.
+#: Each cell has room for so many chunks' numbers, or for all chunks of the level if those are more.
 CELL = 1 << 20
 
 
@@ -32,7 +34,54 @@ def grouped(level: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = level.crossJoin(F.broadcast(box.withColumn("g", g))).withColumn("cell", cell("cx", "x0", "x1") * F.col("g") + cell("cy", "y0", "y1"))
     place = F.row_number().over(Window.partitionBy("cell").orderBy("cx", "cy", "node_id")) - 1
     rows = rows.withColumn("place", place)
-    return rows.select((F.col("cell") * CELL + F.floor(F.col("place") / width)).alias("parent_id"), (F.col("place") % width).cast("int").alias("child_pos"), F.col("node_id").alias("child_id"), "cx", "cy", "min_x", "max_x", "min_y", "max_y")
+    room = F.greatest(F.lit(CELL), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / width + 1)))).cast("long")
+    return rows.select((F.col("cell") * room + F.floor(F.col("place") / width)).alias("parent_id"), (F.col("place") % width).cast("int").alias("child_pos"), F.col("node_id").alias("child_id"), "cx", "cy", "min_x", "max_x", "min_y", "max_y")
+
+
+def lloyd(xy: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """Labels of k-means from centres spread evenly over the points in their order; ties go to the first centre."""
+    centre = xy[np.linspace(0, len(xy) - 1, k).astype(int)].astype(float)
+    label = np.zeros(len(xy), int)
+    for _ in range(rounds):
+        new = ((xy[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+        if (new == label).all() and _:
+            break
+        label = new
+        n = np.bincount(label, minlength=k)
+        for d in (0, 1):
+            centre[:, d] = np.where(n > 0, np.bincount(label, xy[:, d], minlength=k) / np.maximum(n, 1), centre[:, d])
+    return label
+
+
+#: Locations that are clustered together, about; and locations for each cluster.
+BLOCK, EACH = 1024, 6
+
+
+def clustered(level: DataFrame, width: int = WIDTH) -> DataFrame:
+    """As grouped, by k-means over the different locations, about six to a cluster.
+
+    The box is cut into cells of about BLOCK locations, dense cells into runs of as many, so that clusters are found in
+    groups of bounded size. A cluster's nodes go by location and id; ten or more are cut into chunks of the tree's width.
+    """
+    spots = level.select("cx", "cy").distinct()
+    box = spots.agg(F.count("*").alias("n"), F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1")).withColumn("g", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("n") / BLOCK))).cast("long"))
+    cell = lambda c, low, high: F.coalesce(F.least(F.floor((F.col(c) - F.col(low)) / F.nullif(F.col(high) - F.col(low), F.lit(0.0)) * F.col("g")), F.col("g") - 1), F.lit(0)).cast("long")
+    spots = spots.crossJoin(F.broadcast(box)).withColumn("cell", cell("cx", "x0", "x1") * F.col("g") + cell("cy", "y0", "y1"))
+    spots = spots.withColumn("run", F.floor((F.row_number().over(Window.partitionBy("cell").orderBy("cx", "cy")) - 1) / (2 * BLOCK)))
+
+    def label(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["cx", "cy"])
+        return g[["cell", "run", "cx", "cy"]].assign(label=lloyd(g[["cx", "cy"]].to_numpy(), max(1, len(g) // EACH)))
+
+    labels = spots.groupBy("cell", "run").applyInPandas(label, "cell long, run long, cx double, cy double, label long")
+    rows = level.join(labels, ["cx", "cy"]).withColumn("cluster", F.struct("cell", "run", "label"))
+    w = Window.partitionBy("cluster")
+    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("cx", "cy", "node_id")) - 1)
+    chunk = F.when(F.col("n") >= width + 2, F.floor(F.col("place") / width)).otherwise(F.lit(0))
+    rows = materialise(rows.withColumn("part", F.struct("cluster", chunk.alias("chunk"))))
+    first = F.row_number().over(Window.partitionBy("part").orderBy("place")) - 1
+    rows = rows.withColumn("child_pos", first.cast("int")).join(numbered(rows, "part", "parent_id"), "part")
+    return rows.select("parent_id", "child_pos", F.col("node_id").alias("child_id"), "cx", "cy", "min_x", "max_x", "min_y", "max_y")
 
 
 def merged_small(edges: DataFrame, smallest: int = 3, width: int = WIDTH) -> DataFrame:
@@ -46,16 +95,19 @@ def merged_small(edges: DataFrame, smallest: int = 3, width: int = WIDTH) -> Dat
     return moved.withColumn("child_pos", (F.row_number().over(w) - 1).cast("int")).drop("host", "from_host")
 
 
-def build(poi: DataFrame, poi_bits: DataFrame | None, width: int = WIDTH, levels: int | None = None, merge_small: bool = False, keep: int = KEEP) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def build(poi: DataFrame, poi_bits: DataFrame | None, width: int = WIDTH, levels: int | None = None, merge_small: bool = False, keep: int = KEEP, by: str = "grid", snap: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(node, tree_edge, node_bit): depth 0 is the top level; without bits there are no filters.
 
     Levels are added until the top has at most width**2 nodes (only that many counts are collected), or as many as asked
-    for; each is written once. Of a deeper tree only the `keep` levels next to the leaves are kept.
+    for; each is written once. Of a deeper tree only the `keep` levels next to the leaves are kept. by: grid or kmeans. snap:
+    places whose location has fewer members move to the nearest location with as many, as anonymised data asks for.
     """
+    if snap:
+        poi = poi.drop("x", "y").join(snapped(poi.select(F.col("poi_id").alias("id"), "x", "y"), snap).withColumnRenamed("id", "poi_id"), "poi_id")
     level, bits = leaves(poi), poi_bits.select(F.col("poi_id").alias("node_id"), "bit") if poi_bits is not None else None
     nodes, edges, filters = [level], [], [bits]
     while (len(edges) < levels) if levels is not None else (len(nodes) < keep and level.count() > width**2):
-        e = grouped(level, width)
+        e = {"grid": grouped, "kmeans": clustered}[by](level, width)
         e = materialise(merged_small(e, width=width) if merge_small else e)
         up = circled(e.groupBy(F.col("parent_id").alias("node_id")).agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y")))
         level = up.select("node_id", "cx", "cy", "radius", "min_x", "max_x", "min_y", "max_y")

@@ -96,11 +96,11 @@ lf AS (SELECT rk.query_id, rk.poi_id, rk.rank FROM rk JOIN poi USING (poi_id) WH
 hn AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS neg_rank, poi_id FROM lf QUALIFY neg_rank <= 10)"""
 
 DENSE = f"""v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, {XY.format(k='vec_id')} FROM embeddings),
-dq AS (SELECT * FROM v WHERE vec_id % 50 = 0), dc AS (SELECT * FROM v WHERE vec_id % 50 <> 0),
-cs AS (SELECT dq.vec_id AS query_id, dc.vec_id, dq.label = dc.label AS same, sqrt((dq.x - dc.x) ** 2 + (dq.y - dc.y) ** 2) AS dist, list_inner_product(dq.v, dc.v) / (sqrt(list_inner_product(dq.v, dq.v)) * sqrt(list_inner_product(dc.v, dc.v))) AS s FROM dq CROSS JOIN dc),
+dq AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+cs AS (SELECT dq.vec_id AS query_id, dc.vec_id, dq.label = dc.label AS same, sqrt((dq.x - dc.x) ** 2 + (dq.y - dc.y) ** 2) AS dist, list_inner_product(dq.v, dc.v) / (sqrt(list_inner_product(dq.v, dq.v)) * sqrt(list_inner_product(dc.v, dc.v))) AS s FROM dq JOIN v AS dc ON dq.vec_id <> dc.vec_id),
 top AS (SELECT query_id, vec_id, same, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id)::INT AS rank FROM cs QUALIFY rank <= 100),
 nt AS (SELECT query_id, count(*) FILTER (same) AS n FROM cs GROUP BY 1),
-dd AS (SELECT sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) AS d_norm FROM dc)"""
+dd AS (SELECT sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) AS d_norm FROM v)"""
 
 
 def _dense_metric(columns: str) -> str:
@@ -121,6 +121,8 @@ def _mrr(k: int) -> str:
 
 CUST = f"c AS (SELECT c_custkey AS id, {XY.format(k='c_custkey')} FROM customer), s AS (SELECT s_suppkey AS id, {XY.format(k='s_suppkey')} FROM supplier)"
 COARSE = "c AS (SELECT c_custkey AS id, floor(((c_custkey * 7919) % 10000) / 500.0)::DOUBLE AS x, floor(((c_custkey * 104729) % 10000) / 500.0)::DOUBLE AS y FROM customer), l AS (SELECT x, y, count(*) AS n, min(id) AS id, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM c GROUP BY ALL)"
+# Places of small locations move to the nearest location of four or more, if there is one.
+COARSE_POI = f"{POI}, l AS (SELECT x, y, count(*) AS n, min(poi_id) AS id FROM poi GROUP BY ALL), h AS (SELECT a.x, a.y, b.x AS hx, b.y AS hy FROM l AS a JOIN l AS b ON a.n < 4 AND b.n >= 4 QUALIFY row_number() OVER (PARTITION BY a.x, a.y ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) = 1), sp AS (SELECT poi_id, coalesce(hx, x) AS x, coalesce(hy, y) AS y FROM poi LEFT JOIN h USING (x, y))"
 SHUFFLED = "sh AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey || '-0'), o_orderkey) AS place, count(*) OVER () AS n FROM orders)"
 LINES = "ln AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no FROM events)"
 SLATE = f"{SETS}, {PB}, {QB}, {_exhaustive(50)}, cand AS (SELECT query_id, rank, poi_id, x, y FROM found JOIN poi USING (poi_id)), {TRUTH}"
@@ -149,10 +151,10 @@ SELECT conv_id, turn, len(t)::INT AS n_tokens, array_to_string(list_concat(t, li
     "bloom_unmatched": f"""WITH {SETS}, {PB}, {QB}, {TRUTH},
 pairs AS (SELECT query_id, poi_id FROM truth UNION SELECT query_id, poi_id FROM (SELECT query_id, poi_id FROM q CROSS JOIN poi QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sqrt((q.x - poi.x) ** 2 + (q.y - poi.y) ** 2), poi_id) <= 10))
 SELECT query_id, poi_id, count(*) AS n_unmatched FROM pairs JOIN qb USING (query_id) ANTI JOIN pb USING (poi_id, bit) GROUP BY ALL""",
-    "bloom_xor": f"""WITH t AS (SELECT conv_id, min(text) FILTER (turn = 0) AS a, min(text) FILTER (turn = 1) AS b FROM conversations WHERE turn < 2 GROUP BY 1),
-w AS (SELECT conv_id, 0 AS k, unnest({WORDS.format(c="coalesce(a, '')")}) AS w FROM t UNION SELECT conv_id, 1, unnest({WORDS.format(c="coalesce(b, '')")}) FROM t),
-x AS (SELECT DISTINCT conv_id, k, unnest([('0x' || substr(md5(w), 1, 4))::INT % 8192, ('0x' || substr(md5(w), 5, 4))::INT % 8192 + 8192]) AS bit FROM w),
-y AS (SELECT conv_id, bit FROM x GROUP BY ALL HAVING count(*) = 1) SELECT t.conv_id, count(bit)::INT AS n_xor FROM t LEFT JOIN y USING (conv_id) GROUP BY 1""",
+    "bloom_xor": f"""WITH t AS (SELECT conv_id, turn // 2 AS pair, min(text) FILTER (turn % 2 = 0) AS a, min(text) FILTER (turn % 2 = 1) AS b FROM conversations GROUP BY ALL),
+w AS (SELECT conv_id, pair, 0 AS k, unnest({WORDS.format(c="coalesce(a, '')")}) AS w FROM t UNION SELECT conv_id, pair, 1, unnest({WORDS.format(c="coalesce(b, '')")}) FROM t),
+x AS (SELECT DISTINCT conv_id, pair, k, unnest([('0x' || substr(md5(w), 1, 4))::INT % 8192, ('0x' || substr(md5(w), 5, 4))::INT % 8192 + 8192]) AS bit FROM w),
+y AS (SELECT conv_id, pair, bit FROM x GROUP BY ALL HAVING count(*) = 1) SELECT t.conv_id, t.pair, count(bit)::INT AS n_xor FROM t LEFT JOIN y USING (conv_id, pair) GROUP BY ALL""",
     "bbox_dnorm": f"WITH {POI} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, round(sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2), 6) AS d_norm FROM poi",
     "distance_topk": f"WITH {SETS}, d AS (SELECT query_id, poi_id, sqrt((q.x - poi.x) ** 2 + (q.y - poi.y) ** 2) AS d FROM q CROSS JOIN poi) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, poi_id)::INT AS rank, poi_id, round(d, 6) AS dist FROM d QUALIFY rank <= 20",
     "unsup_exhaustive_topk": f"WITH {SETS}, {PB}, {QB}, {_exhaustive(20)} SELECT * FROM found",
@@ -170,6 +172,10 @@ SELECT round(avg(r), 6) AS recall_20, round(avg(g), 6) AS ndcg_5, round(avg(m),
     "beam_candidates": f"WITH {BEAM} SELECT * FROM beam",
     "beam_intermediate_recall": f"WITH {BEAM}, {PATHS}, h AS (SELECT query_id, depth, count(*) AS h FROM beam SEMI JOIN paths USING (query_id, depth, node_id) GROUP BY ALL), n AS (SELECT query_id, depth, count(*) AS n FROM paths GROUP BY ALL) SELECT depth, round(avg(coalesce(h / n, 0)), 6) AS recall FROM q CROSS JOIN (SELECT unnest([0, 1, 2]) AS depth) LEFT JOIN n USING (query_id, depth) LEFT JOIN h USING (query_id, depth) GROUP BY depth",
     "nnue_zero_weight_equiv": f"WITH {BEAM} SELECT query_id, rank, node_id AS poi_id, score FROM p2 WHERE rank <= 20",
+    "kmeans_tree_cover": f"WITH {COARSE_POI} SELECT depth, count(*) AS n_paths, count(DISTINCT poi_id) AS n_leaves, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM sp, (SELECT unnest([0, 1])::INT AS depth) GROUP BY depth",
+    "dataset_file": f"WITH {SETS}, {PB}, {TRUTH}, b AS (SELECT poi_id, count(*) AS n, sum(bit) AS s FROM pb GROUP BY 1), t AS (SELECT poi_id, count(*) AS n FROM truth GROUP BY 1) SELECT row_number() OVER (ORDER BY poi_id) - 1 AS id, coalesce(b.n, 0)::INT AS n_bits, coalesce(b.s, 0)::BIGINT AS sum_bits, x, y, coalesce(t.n, 0)::INT AS n_truths FROM poi LEFT JOIN b USING (poi_id) LEFT JOIN t USING (poi_id)",
+    "tree_file": f"WITH {TREE} SELECT 0 AS depth, dense_rank() OVER (ORDER BY parent_id) - 1 AS parent_id, child_pos, dense_rank() OVER (ORDER BY child_id) - 1 AS child_id FROM e1 UNION ALL SELECT 1, dense_rank() OVER (ORDER BY parent_id) - 1, child_pos, dense_rank() OVER (ORDER BY child_id) - 1 FROM e0",
+    "candidate_file": f"WITH {BEAM}, nm AS (" + " UNION ALL ".join(f"SELECT {d} AS depth, node_id, row_number() OVER (ORDER BY node_id) - 1 AS number FROM n{d}" for d in range(3)) + "), qn AS (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS k FROM (SELECT DISTINCT query_id FROM beam)) SELECT k::BIGINT AS query_id, depth, rank, number AS node_id FROM beam JOIN nm USING (depth, node_id) JOIN qn USING (query_id)",
     "slate_labels": f"WITH {BEAM}, {PATHS} SELECT query_id, depth, rank, node_id, ((query_id, depth, node_id) IN (SELECT (query_id, depth, node_id) FROM paths))::INT AS label FROM beam",
     "context_partner": f"""WITH {SLATE}, sel AS (SELECT query_id, poi_id, rank, x, y, coalesce(overlap, 0) AS shared FROM cand LEFT JOIN ov USING (query_id, poi_id)),
 pt AS (SELECT a.query_id, a.poi_id, b.poi_id AS partner_id FROM sel AS a JOIN sel AS b ON a.query_id = b.query_id AND a.poi_id <> b.poi_id AND b.rank <= 30 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 3000 QUALIFY row_number() OVER (PARTITION BY a.query_id, a.poi_id ORDER BY b.shared DESC, b.poi_id) = 1),
@@ -181,7 +187,7 @@ hd AS (SELECT query_id FROM lk GROUP BY 1 HAVING count(*) * 2 >= (SELECT count(*
 cv AS (SELECT query_id, poi_id, count(*) AS n FROM cand JOIN lk USING (query_id) JOIN pb USING (poi_id, bit) GROUP BY ALL)
 SELECT query_id, poi_id, CASE WHEN truth IS NOT NULL AND query_id IN (SELECT query_id FROM hd) AND sqrt((x - tx) ** 2 + (y - ty) ** 2) <= 3000 THEN coalesce(n, 0) ELSE -1 END AS target FROM cand LEFT JOIN ft USING (query_id) LEFT JOIN cv USING (query_id, poi_id)""",
     "bm25_stats": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM st",
-    "bm25_topk": f"WITH {BM25} {_best('bm', 100, score='t', digits=4)}",
+    "bm25_topk": f"WITH {BM25}, al AS (SELECT query_id, poi_id, coalesce(t, 0) AS t FROM q CROSS JOIN poi LEFT JOIN bm USING (query_id, poi_id)) {_best('al', 100, score='t', digits=4)}",
     "bm25_d_topk": f"WITH {BM25}, {_bm25_distance('t / (most + 1e-6)')} {_best('fu', 100)}",
     "hard_negatives": f"WITH {HARD} SELECT * FROM hn",
     "cosine_topk": f"WITH {DENSE} {_best('cs', 100, 'vec_id')}",
@@ -202,7 +208,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n, 0
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY y DESC, vec_id) AS ir FROM sl),
 gn AS (SELECT query_id, rank, s, y, (pow(2, y) - 1) / greatest(sum(CASE WHEN ir <= 10 THEN (pow(2, y) - 1) / log2(1 + ir) END) OVER (PARTITION BY query_id), 1e-10) AS g FROM rk),
 tp AS (SELECT * FROM gn WHERE rank <= 10) """
-    + " UNION ALL ".join(f"SELECT '{n}' AS scheme, '{how}' AS how, round({'sum' if how == 'sum' else 'avg'}(-log2({_LOSS.format(w=w)})), 6) AS loss, count(*)::BIGINT AS pairs FROM tp AS a JOIN tp AS b ON a.query_id = b.query_id AND a.y > b.y" for n, how, w in _SCHEMES),
+    + " UNION ALL ".join(f"SELECT '{n}' AS scheme, '{how}' AS how, round({'sum' if how == 'sum' else 'avg'}(-log2({_LOSS.format(w=w)})), 6) AS loss, count(*)::BIGINT AS pairs FROM tp AS a JOIN tp AS b ON a.query_id = b.query_id{'' if n == 'ndcgLoss1' else ' AND a.y > b.y'}" for n, how, w in _SCHEMES),
     "dpr_nll": f"WITH {POSITIVE} SELECT query_id, item, round(nll, 6) AS nll, rank::INT AS rank, hit FROM ps",
     "avg_rank": f"WITH {POSITIVE} SELECT round(avg(rank), 6) AS avg_rank, sum(hit)::BIGINT AS hits, round(avg(nll), 6) AS nll FROM ps",
     "mean_pool": "WITH u AS (SELECT label, vec_id % 3 <> 0 AS m, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS value FROM embeddings) SELECT label, dim::INT AS dim, round(coalesce(sum(value) FILTER (m), 0) / greatest(count(*) FILTER (m), 1e-9), 6) AS value FROM u GROUP BY ALL",

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom, geo, numeric, text
 from ..operators import datasets, dense, lexical, metrics, network, report, search, tree
-from ..sources import tables
-from ..sources.stores import hinted, materialise
+from ..sources import binary, tables
+from ..sources.stores import hinted, materialise, numbered, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,19 +32,28 @@ def _bits(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _truths(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, poi_id): places whose text holds a query's."""
+    """(query_id, poi_id): places whose text holds a query's.
+
+    A text that holds another holds its inner words as words, so that the longest of these finds the candidates; queries of
+    fewer than three words meet all texts."""
     poi, q = _sets(spark, sf)
-    return poi.select("poi_id", "text").join(hinted(q.select("query_id", F.col("text").alias("asked"))), F.col("text").contains(F.col("asked"))).select("query_id", "poi_id")
+    w = text.words(F.col("asked"))
+    asked = q.select("query_id", F.col("text").alias("asked")).withColumn("inner", F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
+    asked = asked.withColumn("word", F.array_max(F.transform("inner", lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"])
+    words = poi.select("poi_id", "text", F.explode(F.array_distinct(text.words(F.col("text")))).alias("word"))
+    found = words.join(hinted(asked.where("word is not null").select("query_id", "asked", "word")), "word").where(F.col("text").contains(F.col("asked"))).select("query_id", "poi_id")
+    short = poi.select("poi_id", "text").join(hinted(asked.where("word is null").select("query_id", "asked")), F.col("text").contains(F.col("asked"))).select("query_id", "poi_id")
+    return found.unionByName(short)
 
 
 def _dense(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(corpus, queries): vectors whose id is divisible by 50 search all others."""
+    """(corpus, queries): vectors whose id is divisible by 50 search all vectors but their own."""
     v = tables.vectors(spark, sf)
-    return v.where("vec_id % 50 <> 0"), v.where("vec_id % 50 = 0")
+    return v, v.where("vec_id % 50 = 0")
 
 
 def _dense_truths(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    return corpus.select("vec_id", "label").join(hinted(queries.select(F.col("vec_id").alias("query_id"), "label")), "label").select("query_id", "vec_id")
+    return corpus.select("vec_id", "label").join(hinted(queries.select(F.col("vec_id").alias("query_id"), "label")), "label").where("query_id <> vec_id").select("query_id", "vec_id")
 
 
 def _placed(v: DataFrame) -> DataFrame:
@@ -118,9 +127,11 @@ def bloom_unmatched(spark, sf):
 
 @query
 def bloom_xor(spark, sf):
-    t = tables.table(spark, sf, "conversations").where("turn < 2").groupBy("conv_id").pivot("turn", [0, 1]).agg(F.min("text"))
+    """Of each turn and the answer that follows it."""
+    side = lambda k: F.min(F.when(F.col("turn") % 2 == k, F.col("text"))).alias(f"side_{k}")
+    t = tables.table(spark, sf, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair")).agg(side(0), side(1))
     of = lambda c: bloom.bloom(F.array_distinct(text.words(F.coalesce(F.col(c), F.lit("")))))
-    return t.select("conv_id", F.size(bloom.xor(of("0"), of("1"))).alias("n_xor"))
+    return t.select("conv_id", "pair", F.size(bloom.xor(of("side_0"), of("side_1"))).alias("n_xor"))
 
 
 @query
@@ -179,11 +190,11 @@ def tree_truth_paths(spark, sf):
     return tree.ancestors(_tree(spark, sf)[1], _truths(spark, sf), DEPTHS - 1)
 
 
-def _beam(spark, sf, scorer=None) -> DataFrame:
+def _beam(spark, sf) -> DataFrame:
     node, edges, bits = _filtered_tree(spark, sf)
     q = tables.queries(spark, sf)
     qb = _bits(q, "query_id")
-    return search.beam_search(node, edges, bits, q, qb, DEPTHS, BEAM, text_score=scorer(bits, qb) if scorer else None)
+    return search.beam_search(node, edges, bits, q, qb, DEPTHS, BEAM)
 
 
 @query
@@ -202,11 +213,90 @@ def beam_intermediate_recall(spark, sf):
     return metrics.intermediate_recall(materialise(_beam(spark, sf)), paths, tables.queries(spark, sf))
 
 
+def _supervised(spark, sf, weights: list[network.Weights]) -> DataFrame:
+    node, edges, bits = _filtered_tree(spark, sf)
+    q = tables.queries(spark, sf)
+    qb = materialise(_bits(q, "query_id"))
+    model = network.Model.of(weights)
+    fusion = [search.Fusion(*map(float, f)) for f in model.fusion]
+    index = materialise(network.node_index(node, bits, weights))
+    beam = search.beam_search(node, edges, bits, q, qb, DEPTHS, BEAM, fusion, network.scorer(index, bits, qb, model))
+    return beam.where((F.col("depth") == DEPTHS - 1) & (F.col("rank") <= 20)).select("query_id", "rank", F.col("node_id").alias("poi_id"), "score")
+
+
 @query
 def nnue_zero_weight_equiv(spark, sf):
-    w = network.Weights.untrained(bloom.SLICES * bloom.BITS)
-    beam = _beam(spark, sf, lambda bits, qb: network.scorer(bits, qb, [w] * DEPTHS))
-    return beam.where((F.col("depth") == DEPTHS - 1) & (F.col("rank") <= 20)).select("query_id", "rank", F.col("node_id").alias("poi_id"), "score")
+    return _supervised(spark, sf, [network.Weights.untrained(bloom.SLICES * bloom.BITS)] * DEPTHS)
+
+
+@query
+def nnue_beam_topk(spark, sf):
+    """Weights that are random and not zero: all heads, the residual and the contexts count."""
+    first = network.Weights.random(bloom.SLICES * bloom.BITS, 0)
+    return _supervised(spark, sf, [first, *(network.Weights.random(bloom.SLICES * bloom.BITS, d, first.encoder) for d in range(1, DEPTHS))])
+
+
+@query
+def kmeans_tree_cover(spark, sf):
+    """Of the tree by clusters, by depth: how many leaves lie under its nodes, whether each under one, and the box of all."""
+    poi = tables.poi(spark, sf)
+    node, edges, _ = tree.build(poi, None, levels=DEPTHS - 1, merge_small=True, by="kmeans", snap=4)
+    under = poi.select("poi_id", F.col("poi_id").alias("node_id"))
+    out = []
+    for d in range(DEPTHS - 2, -1, -1):
+        e = edges.where(F.col("depth") == d).select(F.col("child_id").alias("node_id"), "parent_id")
+        under = materialise(under.join(e, "node_id").select("poi_id", F.col("parent_id").alias("node_id")))
+        n = node.where(F.col("depth") == d)
+        out.append(under.agg(F.lit(d).alias("depth"), F.count("*").alias("n_paths"), F.count_distinct("poi_id").alias("n_leaves")).crossJoin(n.agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"))))
+    return out[0].unionByName(out[1])
+
+
+def _written(spark: SparkSession, name: str) -> str:
+    return f"{shared_path(spark)}/{name}"
+
+
+@query
+def dataset_file(spark, sf):
+    """Places and their bits, written as a dataset file and read back."""
+    poi = tables.poi(spark, sf)
+    rows = poi.select("poi_id", "x", "y", bloom.bloom(F.array_distinct(text.words(F.col("text")))).alias("bits")).join(numbered(poi, "poi_id", "id"), "poi_id")
+    truths = _truths(spark, sf).groupBy("poi_id").agg(F.array_sort(F.collect_list("query_id")).alias("truths"))
+    rows = rows.join(truths, "poi_id", "left").withColumn("truths", F.coalesce("truths", F.array().cast("array<long>")))
+    binary.write_dataset(materialise(rows), path := _written(spark, "poi.bin"), bloom.SLICES * bloom.BITS, with_truths=True)
+    back = binary.read_dataset(spark, path)
+    return back.select("id", F.size("bits").alias("n_bits"), F.aggregate("bits", F.lit(0).cast("long"), lambda s, x: s + x).alias("sum_bits"), "x", "y", F.size("truths").alias("n_truths"))
+
+
+def _numbered_levels(edges: DataFrame) -> list[DataFrame]:
+    """(node_id, number) of depths 0 ... leaves: ids counted from 0 in each level."""
+    of = lambda d, c: numbered(edges.where(F.col("depth") == d).select(F.col(c).alias("node_id")), "node_id")
+    return [of(d, "parent_id") for d in range(DEPTHS - 1)] + [of(DEPTHS - 2, "child_id")]
+
+
+@query
+def tree_file(spark, sf):
+    """The tree's edges, written as a tree file and read back: depth 0 has the parents of leaves."""
+    _, edges = _tree(spark, sf)
+    edges = materialise(edges)
+    levels, out = _numbered_levels(edges), []
+    for d in range(DEPTHS - 1):
+        up = levels[d].select(F.col("node_id").alias("parent_id"), F.col("number").alias("p"))
+        down = levels[d + 1].select(F.col("node_id").alias("child_id"), F.col("number").alias("c"))
+        out.append(edges.where(F.col("depth") == d).join(up, "parent_id").join(down, "child_id").select("depth", F.col("p").alias("parent_id"), "child_pos", F.col("c").alias("child_id")))
+    binary.write_tree(out[0].unionByName(out[1]), path := _written(spark, "tree.bin"))
+    return binary.read_tree(spark, path)
+
+
+@query
+def candidate_file(spark, sf):
+    """The beams of all depths, nodes by their numbers, written as a candidate dump and read back; queries count from 0."""
+    levels = _numbered_levels(materialise(_tree(spark, sf)[1]))
+    names = levels[0].select(F.lit(0).alias("depth"), "*")
+    for d in range(1, DEPTHS):
+        names = names.unionByName(levels[d].select(F.lit(d).alias("depth"), "*"))
+    beam = _beam(spark, sf).join(names, ["depth", "node_id"]).select("query_id", "depth", "rank", F.col("number").alias("node_id"))
+    binary.write_candidates(materialise(beam), path := _written(spark, "candidates.bin"), [BEAM] * DEPTHS)
+    return binary.read_candidates(spark, path, [BEAM] * DEPTHS)
 
 
 def _slate(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -354,9 +444,7 @@ def lambda_loss(spark, sf):
 def _positives(spark, sf) -> DataFrame:
     """Each query's first vector of its own label counts as its positive, among all vectors."""
     c, q = _dense(spark, sf)
-    first = _dense_truths(c, q).groupBy("query_id").agg(F.min("vec_id").alias("vec_id")).withColumn("positive", F.lit(True))
-    pairs = dense.cosine_pairs(c, q).join(first, ["query_id", "vec_id"], "left").na.fill(False, ["positive"])
-    return metrics.positive_ranks(pairs.withColumnRenamed("vec_id", "item"))
+    return dense.positive_ranks(c, q, _dense_truths(c, q).groupBy("query_id").agg(F.min("vec_id").alias("vec_id")))
 
 
 @query

@@ -26,11 +26,35 @@ def shared_path(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/cq-{uuid.uuid4().hex}"
 
 
+#: Ends an execution by removing its shuffle files, which else stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again: later steps neither recompute it nor carry its lineage."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written to the shared folder and read again: later steps neither recompute it nor carry its lineage. The files go when the driver ends."""
+    spark = df.sparkSession
+    path, before = shared_path(spark), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, key: str, number: str = "number") -> DataFrame:
+    """(key, number) of the different keys, ascending from 0: numbered within ranges, of which only the sizes are collected."""
+    at = F.monotonically_increasing_id()  # the range in the upper bits, the place in the lower 33
+    held = materialise(rows.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("at", at))
+    sizes = sorted(tuple(r) for r in held.groupBy(F.shiftright("at", 33).alias("p")).count().collect())
+    starts, total = [], 0
+    for p, n in sizes:
+        starts.append((p, total))
+        total += n
+    begin = rows.sparkSession.createDataFrame(starts, "p long, begin long")
+    return held.join(F.broadcast(begin), F.shiftright("at", 33) == F.col("p")).select(key, (F.col("begin") + F.col("at").bitwiseAND((1 << 33) - 1)).alias(number))
 
 
 def small(rows: DataFrame, most: int = 8 << 20) -> bool:
