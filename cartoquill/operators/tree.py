@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom
 from ..functions.geo import circled, knn_join, snapped
-from ..sources.stores import materialise, numbered
+from ..sources.stores import hinted, materialise, numbered, placed
 
 WIDTH, KEEP = 8, 4
 #: Each cell has room for so many chunks' numbers, or for all chunks of the level if those are more.
@@ -26,14 +26,13 @@ def grouped(level: DataFrame, width: int = WIDTH) -> DataFrame:
     """(parent_id, child_pos, child_id) and the child's columns: one level of the tree.
 
     The bounding box is cut into about one cell for every two widths of nodes; a cell's nodes, in the order of their
-    centres and ids, are cut into chunks. Windows are as large as a cell, not as the level.
+    centres and ids, are cut into chunks; a cell of any number of nodes is spread over tasks.
     """
     box = level.agg(F.count("*").alias("n"), F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"))
     g = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / (2.0 * width)))).cast("long")
     cell = lambda c, low, high: F.coalesce(F.least(F.floor((F.col(c) - F.col(low)) / F.nullif(F.col(high) - F.col(low), F.lit(0.0)) * F.col("g")), F.col("g") - 1), F.lit(0)).cast("long")
     rows = level.crossJoin(F.broadcast(box.withColumn("g", g))).withColumn("cell", cell("cx", "x0", "x1") * F.col("g") + cell("cy", "y0", "y1"))
-    place = F.row_number().over(Window.partitionBy("cell").orderBy("cx", "cy", "node_id")) - 1
-    rows = rows.withColumn("place", place)
+    rows = placed(rows, "cell", ["cx", "cy", "node_id"])
     room = F.greatest(F.lit(CELL), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / width + 1)))).cast("long")
     return rows.select((F.col("cell") * room + F.floor(F.col("place") / width)).alias("parent_id"), (F.col("place") % width).cast("int").alias("child_pos"), F.col("node_id").alias("child_id"), "cx", "cy", "min_x", "max_x", "min_y", "max_y")
 
@@ -67,7 +66,7 @@ def clustered(level: DataFrame, width: int = WIDTH) -> DataFrame:
     box = spots.agg(F.count("*").alias("n"), F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1")).withColumn("g", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("n") / BLOCK))).cast("long"))
     cell = lambda c, low, high: F.coalesce(F.least(F.floor((F.col(c) - F.col(low)) / F.nullif(F.col(high) - F.col(low), F.lit(0.0)) * F.col("g")), F.col("g") - 1), F.lit(0)).cast("long")
     spots = spots.crossJoin(F.broadcast(box)).withColumn("cell", cell("cx", "x0", "x1") * F.col("g") + cell("cy", "y0", "y1"))
-    spots = spots.withColumn("run", F.floor((F.row_number().over(Window.partitionBy("cell").orderBy("cx", "cy")) - 1) / (2 * BLOCK)))
+    spots = placed(spots, "cell", ["cx", "cy"]).withColumn("run", F.floor(F.col("place") / (2 * BLOCK)))
 
     def label(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["cx", "cy"])
@@ -75,9 +74,8 @@ def clustered(level: DataFrame, width: int = WIDTH) -> DataFrame:
 
     labels = spots.groupBy("cell", "run").applyInPandas(label, "cell long, run long, cx double, cy double, label long")
     rows = level.join(labels, ["cx", "cy"]).withColumn("cluster", F.struct("cell", "run", "label"))
-    w = Window.partitionBy("cluster")
-    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("cx", "cy", "node_id")) - 1)
-    chunk = F.when(F.col("n") >= width + 2, F.floor(F.col("place") / width)).otherwise(F.lit(0))
+    rows = placed(rows, "cluster", ["cx", "cy", "node_id"])
+    chunk = F.when(F.col("n_group") >= width + 2, F.floor(F.col("place") / width)).otherwise(F.lit(0))
     rows = materialise(rows.withColumn("part", F.struct("cluster", chunk.alias("chunk"))))
     first = F.row_number().over(Window.partitionBy("part").orderBy("place")) - 1
     rows = rows.withColumn("child_pos", first.cast("int")).join(numbered(rows, "part", "parent_id"), "part")
@@ -110,9 +108,9 @@ def build(poi: DataFrame, poi_bits: DataFrame | None, width: int = WIDTH, levels
         e = {"grid": grouped, "kmeans": clustered}[by](level, width)
         e = materialise(merged_small(e, width=width) if merge_small else e)
         up = circled(e.groupBy(F.col("parent_id").alias("node_id")).agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y")))
-        level = up.select("node_id", "cx", "cy", "radius", "min_x", "max_x", "min_y", "max_y")
+        level = materialise(up.select("node_id", "cx", "cy", "radius", "min_x", "max_x", "min_y", "max_y"))
         if bits is not None:
-            bits = bloom.union(bits.join(e.select(F.col("child_id").alias("node_id"), "parent_id"), "node_id").select(F.col("parent_id").alias("node_id"), "bit"), "node_id")
+            bits = materialise(bloom.union(bits.join(hinted(e.select(F.col("child_id").alias("node_id"), "parent_id")), "node_id").select(F.col("parent_id").alias("node_id"), "bit"), "node_id"))
         nodes.append(level)
         edges.append(e.select("parent_id", "child_pos", "child_id"))
         filters.append(bits)

@@ -172,6 +172,9 @@ SELECT round(avg(r), 6) AS recall_20, round(avg(g), 6) AS ndcg_5, round(avg(m),
     "beam_candidates": f"WITH {BEAM} SELECT * FROM beam",
     "beam_intermediate_recall": f"WITH {BEAM}, {PATHS}, h AS (SELECT query_id, depth, count(*) AS h FROM beam SEMI JOIN paths USING (query_id, depth, node_id) GROUP BY ALL), n AS (SELECT query_id, depth, count(*) AS n FROM paths GROUP BY ALL) SELECT depth, round(avg(coalesce(h / n, 0)), 6) AS recall FROM q CROSS JOIN (SELECT unnest([0, 1, 2]) AS depth) LEFT JOIN n USING (query_id, depth) LEFT JOIN h USING (query_id, depth) GROUP BY depth",
     "nnue_zero_weight_equiv": f"WITH {BEAM} SELECT query_id, rank, node_id AS poi_id, score FROM p2 WHERE rank <= 20",
+    "ranker_zero_weight": f"""WITH {SETS}, {PB}, {QB}, ov AS (SELECT query_id, poi_id, count(*) AS n FROM pb JOIN qb USING (bit) GROUP BY ALL), qn AS (SELECT query_id, count(*) AS m FROM qb GROUP BY 1),
+pairs AS (SELECT query_id, poi_id, coalesce(n / m, 0) AS t, sqrt((q.x - poi.x) ** 2 + (q.y - poi.y) ** 2) AS dist FROM q CROSS JOIN poi LEFT JOIN qn USING (query_id) LEFT JOIN ov USING (query_id, poi_id)),
+sc AS (SELECT query_id, poi_id, (1 - 1 / (1 + exp(-(t - avg(t) OVER w) / (coalesce(stddev_samp(t) OVER w, 0) + 1e-6)))) * -ln(1 + dist) AS s FROM pairs WINDOW w AS (PARTITION BY query_id)) {_best('sc', 20)}""",
     "kmeans_tree_cover": f"WITH {COARSE_POI} SELECT depth, count(*) AS n_paths, count(DISTINCT poi_id) AS n_leaves, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM sp, (SELECT unnest([0, 1])::INT AS depth) GROUP BY depth",
     "dataset_file": f"WITH {SETS}, {PB}, {TRUTH}, b AS (SELECT poi_id, count(*) AS n, sum(bit) AS s FROM pb GROUP BY 1), t AS (SELECT poi_id, count(*) AS n FROM truth GROUP BY 1) SELECT row_number() OVER (ORDER BY poi_id) - 1 AS id, coalesce(b.n, 0)::INT AS n_bits, coalesce(b.s, 0)::BIGINT AS sum_bits, x, y, coalesce(t.n, 0)::INT AS n_truths FROM poi LEFT JOIN b USING (poi_id) LEFT JOIN t USING (poi_id)",
     "tree_file": f"WITH {TREE} SELECT 0 AS depth, dense_rank() OVER (ORDER BY parent_id) - 1 AS parent_id, child_pos, dense_rank() OVER (ORDER BY child_id) - 1 AS child_id FROM e1 UNION ALL SELECT 1, dense_rank() OVER (ORDER BY parent_id) - 1, child_pos, dense_rank() OVER (ORDER BY child_id) - 1 FROM e0",

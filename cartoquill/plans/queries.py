@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bloom, geo, numeric, text
-from ..operators import datasets, dense, lexical, metrics, network, report, search, tree
+from ..operators import datasets, dense, lexical, metrics, network, ranker, report, search, tree
 from ..sources import binary, tables
 from ..sources.stores import hinted, materialise, numbered, shared_path
 
@@ -60,17 +60,43 @@ def _placed(v: DataFrame) -> DataFrame:
     return v.withColumns({"x": ((F.col("vec_id") * 7919) % 10000).cast("double"), "y": ((F.col("vec_id") * 104729) % 10000).cast("double")})
 
 
+_INDEX: dict[tuple[str, str, str], tuple[DataFrame, ...]] = {}
+
+
+def index(spark: SparkSession, sf: str, kind: str, build: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """Written relations that many queries read: built once for an application and a folder."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _INDEX:
+        _INDEX[key] = build()
+    return _INDEX[key]
+
+
+def _query_bits(spark: SparkSession, sf: str) -> DataFrame:
+    return index(spark, sf, "query_bits", lambda: (materialise(_bits(tables.queries(spark, sf), "query_id")),))[0]
+
+
+def _poi_bits(spark: SparkSession, sf: str) -> DataFrame:
+    return index(spark, sf, "poi_bits", lambda: (materialise(_bits(tables.poi(spark, sf), "poi_id")),))[0]
+
+
 def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges)."""
-    node, edges, _ = tree.build(tables.poi(spark, sf), None, levels=DEPTHS - 1)
-    return materialise(node), edges
 
+    def build() -> tuple[DataFrame, ...]:
+        node, edges, _ = tree.build(tables.poi(spark, sf), None, levels=DEPTHS - 1)
+        return materialise(node), materialise(edges)
 
-def _filtered_tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, the nodes' bits)."""
-    poi = tables.poi(spark, sf)
-    node, edges, bits = tree.build(poi, materialise(_bits(poi, "poi_id")), levels=DEPTHS - 1)
-    return materialise(node), edges, materialise(bits)
+    return index(spark, sf, "tree", build)
+
+
+def filtered_tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, the nodes' bits): the index that beam search reads."""
+
+    def build() -> tuple[DataFrame, ...]:
+        node, edges, bits = tree.build(tables.poi(spark, sf), _poi_bits(spark, sf), levels=DEPTHS - 1)
+        return materialise(node), materialise(edges), materialise(bits)
+
+    return index(spark, sf, "filtered_tree", build)
 
 
 @query
@@ -113,14 +139,13 @@ def bloom_sequences(spark, sf):
 
 @query
 def bloom_overlap(spark, sf):
-    poi, q = _sets(spark, sf)
-    return search.overlap(_bits(poi, "poi_id"), _bits(q, "query_id"))
+    return search.overlap(_poi_bits(spark, sf), _query_bits(spark, sf))
 
 
 @query
 def bloom_unmatched(spark, sf):
     poi, q = _sets(spark, sf)
-    bits, qb = _bits(poi, "poi_id"), _bits(q, "query_id")
+    bits, qb = _poi_bits(spark, sf), _query_bits(spark, sf)
     pairs = _truths(spark, sf).unionByName(search.nearest_places(poi, q, 10).select("query_id", "poi_id")).distinct()
     return search.unmatched(bits, qb, pairs).groupBy("query_id", "poi_id").agg(F.count("*").alias("n_unmatched"))
 
@@ -147,14 +172,14 @@ def distance_topk(spark, sf):
 @query
 def unsup_exhaustive_topk(spark, sf):
     poi, q = _sets(spark, sf)
-    return search.exhaustive(poi, q, _bits(poi, "poi_id"), _bits(q, "query_id"))
+    return search.exhaustive(poi, q, _poi_bits(spark, sf), _query_bits(spark, sf))
 
 
 @query
 def thinned_search_quality(spark, sf):
     poi, q = _sets(spark, sf)
     thin = tables.thinned(q)
-    result = search.exhaustive(poi, thin, _bits(poi, "poi_id"), _bits(thin, "query_id"))
+    result = search.exhaustive(poi, thin, _poi_bits(spark, sf), materialise(_bits(thin, "query_id")))
     names = {"recall_20": ("recall", 20), "ndcg_5": ("ndcg", 5), "mrr_20": ("mrr", 20)}
     return metrics.mean(metrics.per_query(q, result, _truths(spark, sf), names), list(names))
 
@@ -172,17 +197,17 @@ def tree_edges(spark, sf):
 
 @query
 def tree_node_bits(spark, sf):
-    return _filtered_tree(spark, sf)[2].groupBy("depth", "node_id").agg(F.count("*").alias("n_bits"), F.sum("bit").alias("sum_bits"))
+    return filtered_tree(spark, sf)[2].groupBy("depth", "node_id").agg(F.count("*").alias("n_bits"), F.sum("bit").alias("sum_bits"))
 
 
 @query
 def tree_density(spark, sf):
-    return tree.density(_filtered_tree(spark, sf)[2], bloom.SLICES * bloom.BITS)
+    return tree.density(filtered_tree(spark, sf)[2], bloom.SLICES * bloom.BITS)
 
 
 @query
 def tree_sizes(spark, sf):
-    return report.sizes(_filtered_tree(spark, sf)[2])
+    return report.sizes(filtered_tree(spark, sf)[2])
 
 
 @query
@@ -191,10 +216,8 @@ def tree_truth_paths(spark, sf):
 
 
 def _beam(spark, sf) -> DataFrame:
-    node, edges, bits = _filtered_tree(spark, sf)
-    q = tables.queries(spark, sf)
-    qb = _bits(q, "query_id")
-    return search.beam_search(node, edges, bits, q, qb, DEPTHS, BEAM)
+    node, edges, bits = filtered_tree(spark, sf)
+    return search.beam_search(node, edges, bits, tables.queries(spark, sf), _query_bits(spark, sf), DEPTHS, BEAM)
 
 
 @query
@@ -214,9 +237,8 @@ def beam_intermediate_recall(spark, sf):
 
 
 def _supervised(spark, sf, weights: list[network.Weights]) -> DataFrame:
-    node, edges, bits = _filtered_tree(spark, sf)
-    q = tables.queries(spark, sf)
-    qb = materialise(_bits(q, "query_id"))
+    node, edges, bits = filtered_tree(spark, sf)
+    q, qb = tables.queries(spark, sf), _query_bits(spark, sf)
     model = network.Model.of(weights)
     fusion = [search.Fusion(*map(float, f)) for f in model.fusion]
     index = materialise(network.node_index(node, bits, weights))
@@ -236,6 +258,33 @@ def nnue_beam_topk(spark, sf):
     return _supervised(spark, sf, [first, *(network.Weights.random(bloom.SLICES * bloom.BITS, d, first.encoder) for d in range(1, DEPTHS))])
 
 
+def _ranked(spark, sf, model: ranker.Ranker) -> DataFrame:
+    poi, q = _sets(spark, sf)
+    bits, qb = _poi_bits(spark, sf), _query_bits(spark, sf)
+    if model.convs:
+        words = bloom.sequence(text.words(F.col("text")), most=model.length)
+        rows, asked = poi.select("poi_id", words.alias("x")), q.select("query_id", words.alias("x"))
+    else:
+        of = bloom.bloom(F.array_distinct(text.words(F.col("text"))))
+        rows, asked = poi.select("poi_id", of.alias("x")), q.select("query_id", of.alias("x"))
+    return ranker.rank(poi, q, bits, qb, materialise(ranker.embeddings(rows, "poi_id", model, "x")), materialise(ranker.embeddings(asked, "query_id", model, "x")), model)
+
+
+@query
+def ranker_zero_weight(spark, sf):
+    return _ranked(spark, sf, ranker.Ranker.random(bloom.SLICES * bloom.BITS, trained=False))
+
+
+@query
+def ranker_topk(spark, sf):
+    return _ranked(spark, sf, ranker.Ranker.random(bloom.SLICES * bloom.BITS))
+
+
+@query
+def ranker_ordered_topk(spark, sf):
+    return _ranked(spark, sf, ranker.Ranker.random(bloom.SLICES * bloom.BITS, ordered=True))
+
+
 @query
 def kmeans_tree_cover(spark, sf):
     """Of the tree by clusters, by depth: how many leaves lie under its nodes, whether each under one, and the box of all."""
@@ -302,7 +351,7 @@ def candidate_file(spark, sf):
 def _slate(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, bits, query bits): the 50 best places of each query, with coordinates."""
     poi, q = _sets(spark, sf)
-    bits, qb = _bits(poi, "poi_id"), _bits(q, "query_id")
+    bits, qb = _poi_bits(spark, sf), _query_bits(spark, sf)
     found = search.exhaustive(poi, q, bits, qb, 50).select("query_id", "rank", "poi_id")
     return materialise(found.join(poi.select("poi_id", "x", "y"), "poi_id")), bits, qb
 

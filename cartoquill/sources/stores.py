@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Callable, Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -57,6 +57,21 @@ def numbered(rows: DataFrame, key: str, number: str = "number") -> DataFrame:
     return held.join(F.broadcast(begin), F.shiftright("at", 33) == F.col("p")).select(key, (F.col("begin") + F.col("at").bitwiseAND((1 << 33) - 1)).alias(number))
 
 
+def placed(rows: DataFrame, by: str, order: list[str], place: str = "place", total: str = "n_group") -> DataFrame:
+    """The rows with their places from 0 in the order within their group, and the group's size; written.
+
+    Rows are sorted by ranges of group and order, so that a group of any size is spread over tasks; a small table of groups
+    and ranges tells how many rows of a group lie in the ranges before."""
+    at = F.monotonically_increasing_id()
+    held = materialise(rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("_at", at).withColumn("_range", F.shiftright("_at", 33)))
+    w = Window.partitionBy("_by")
+    ranges = held.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_of")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = materialise(ranges.select("_by", "_of", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(w).alias("_total")))
+    joined = held.join(hinted(ranges), (F.col(by) == F.col("_by")) & (F.col("_range") == F.col("_of")))
+    return joined.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(place), F.col("_total").alias(total))
+
+
 def small(rows: DataFrame, most: int = 8 << 20) -> bool:
     """Whether Spark's own estimate of a relation is below a bound, so that it may be sent to every task."""
     return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most

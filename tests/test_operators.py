@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartoquill.functions import bloom, text
-from cartoquill.operators import datasets, dense, lexical, metrics, network, report, search, training, tree
+from cartoquill.operators import datasets, dense, lexical, metrics, network, ranker, report, search, training, tree
 from cartoquill.sources import binary
 from cartoquill.streaming import search as streaming
 
@@ -165,6 +165,64 @@ def test_network_files(spark, tmp_path):
         binary.read_nodes(spark, str(tmp_path / "node.bin"), [1, 3]).collect()
 
 
+@pytest.mark.parametrize("ordered", [False, True])
+def test_ranker_against_brute_force(spark, ordered):
+    r, m = np.random.default_rng(3), ranker.Ranker.random(64, 6, 5, seed=2, ordered=ordered)
+    m.bits -= 0.4  # some text scores are below 0
+    texts = [[[int(b) for b in r.choice(64, 2, replace=False)] for _ in range(r.integers(0, 5))] for _ in range(60)]
+    xy = r.uniform(0, 100, (60, 2)).round(2).tolist()
+    sets = [sorted({b for w in t for b in w}) for t in texts]
+    poi = spark.createDataFrame([(i, *xy[i]) for i in range(50)], "poi_id long, x double, y double")
+    q = spark.createDataFrame([(i, *xy[i]) for i in range(50, 60)], "query_id long, x double, y double")
+    bits = lambda ids, key: spark.createDataFrame([(i, b) for i in ids for b in sets[i]], f"{key} long, bit int")
+    lists = lambda ids, key: spark.createDataFrame([(i, texts[i] if ordered else sets[i]) for i in ids], f"{key} long, x {'array<array<int>>' if ordered else 'array<int>'}")
+    e = [ranker.embeddings(lists(ids, key), key, m, "x") for ids, key in ((range(50), "poi_id"), (range(50, 60), "query_id"))]
+    got = ranker.rank(poi, q, bits(range(50), "poi_id"), bits(range(50, 60), "query_id"), *e, m, k=7).collect()
+    embed = [m.embed_sequence(t) if ordered else m.embed(np.array(s, int)) for t, s in zip(texts, sets, strict=True)]
+    for a in range(50, 60):
+        t = []
+        for b in range(50):
+            x = np.maximum(np.concatenate((embed[a], embed[b])), 0)
+            for w, c in m.layers:
+                x = np.maximum(w @ x + c, 0)
+            both = [float(m.bits[k] @ x) for k in set(sets[a]) & set(sets[b])]
+            t.append(sum((v if v > 0 else v / 8) + 1 for v in both) / max(1, len(sets[a])))
+        z = (np.array(t) - np.mean(t)) / (np.std(t, ddof=1) + 1e-6)
+        s = [(1 - 1 / (1 + math.exp(-z[b]))) * -math.log(1 + math.dist(xy[a], xy[b])) for b in range(50)]
+        want = sorted(range(50), key=lambda b: (-round(s[b], 9), b))[:7]
+        assert [x["poi_id"] for x in sorted((x for x in got if x["query_id"] == a), key=lambda x: x["rank"])] == want
+
+
+def test_convolution_by_the_book():
+    m = ranker.Ranker.random(16, 3, 2, seed=1, ordered=True)
+    m.length = 6
+    words = [[1, 2], [3], [5, 6, 7]]
+    x = np.zeros((6, 3))
+    for k, w in enumerate(words):
+        x[k] = m.encoder[w].sum(axis=0)
+    y = x
+    for w, b in m.convs:
+        y = np.array([[max(0, b[o] + sum(w[o, c, k] * y[t + k - 2, c] for k in range(5) for c in range(3) if 0 <= t + k - 2 < 6)) for o in range(3)] for t in range(6)])
+    assert np.allclose(m.embed_sequence(words), (x + y).mean(axis=0))
+
+
+def test_training_the_ranker(spark):
+    r, m = np.random.default_rng(4), ranker.Ranker.random(20, 4, 3, seed=5)
+    fusion = np.array([1.2, 0.1, 1.0, 0.2])
+    query, places = np.array([1, 4, 7, 9]), [np.sort(r.choice(20, 6, replace=False)) for _ in range(5)]
+    near, positive = -r.uniform(0, 4, 5), np.array([True, False, False, True, False])
+    _, loss, grad = training.slate_gradient(m, fusion, query, places, near, positive)
+    for k, x in enumerate(training.parameters(m, fusion)):
+        for at in list(np.ndindex(x.shape))[:: max(1, x.size // 9)]:
+            values = [y.copy() for y in training.parameters(m, fusion)]
+            values[k][at] += 1e-6
+            up = training.slate_gradient(*training.with_parameters(m, values), query, places, near, positive)[1]
+            assert abs((up - loss) / 1e-6 - grad[k][at]) < 1e-3
+    rows = [(q, [int(b) for b in query], [int(b) for b in np.sort(r.choice(20, 6, replace=False))], float(-r.uniform(0, 4)), int(k == 0)) for q in range(8) for k in range(5)]
+    _, fused, losses = training.fit_ranker(spark.createDataFrame(rows, "query_id long, q_bits array<int>, p_bits array<int>, near double, label int"), m, steps=12, rate=0.03)
+    assert losses[-1] < losses[0] and set(fused) == set("abcd")
+
+
 def test_loss_golden_and_by_depth(spark):
     """Three items: scores 2, 1, .5, labels 0, 1, 0. All nine pairs count, weighed by the first one's gain over its discount: only the second has a gain, 1, over log2(3)."""
     rows = [(1, k, s, y) for k, (s, y) in enumerate([(2.0, 0), (1.0, 1), (0.5, 0)])]
