@@ -109,8 +109,7 @@ def forest(fp: np.ndarray, group: np.ndarray, side: np.ndarray, distance: int) -
 
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (child, root) between different fingerprints: in each block and tile a spanning forest of the links. distinct: fp."""
-    spark = C.session(distinct)
-    n = C.deal(spark)
+    C.session(distinct)
     keys = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("key")) for k, m in enumerate(masks(distance))])).alias("b")).select("fp", "b.k", "b.key")
     large = C.stage(keys.groupBy("k", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
     tiles = F.ceil(F.col("n") / TILE).cast("int")
@@ -119,17 +118,24 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     dealt = dealt.select("fp", "k", "key", "own", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("other"))
     dealt = dealt.select("fp", F.xxhash64("k", "key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("int").alias("side"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        fp, block, side = (table.column(c).to_numpy() for c in ("fp", "block", "side"))
-        order = np.lexsort((fp, block))
-        block = block[order]
+    def edges(fp: np.ndarray, block: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
         run = np.diff(np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))))
         several = np.repeat(run, run) > 1
-        order = order[several]
-        child, root = forest(fp[order], block[several], side[order], distance)
-        return pa.table({"child": pa.array(child, pa.int64()), "root": pa.array(root, pa.int64())})
+        child, root = forest(fp[several], block[several], side[several], distance)
+        return pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(root, pa.int64())], names=["child", "root"])
 
-    return dealt.withColumn("bucket", F.pmod("block", F.lit(n)).cast("int")).groupBy("bucket").applyInArrow(compare, "child long, root long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]  # a block that may go on in the next batch
+        for batch in batches:
+            held = [np.concatenate((a, batch.column(c).to_numpy())) for c, a in enumerate(held)]
+            whole = int(np.flatnonzero(held[1] != held[1][-1])[-1]) + 1 if len(held[1]) and (held[1] != held[1][-1]).any() else 0
+            if whole:
+                yield edges(*(a[:whole] for a in held))
+                held = [a[whole:] for a in held]
+        if len(held[0]):
+            yield edges(*held)
+
+    return dealt.select("fp", "block", "side").repartition("block").sortWithinPartitions("block", "fp").mapInArrow(compare, "child long, root long")
 
 
 #: Edges that one task of a round handles, about.
@@ -163,13 +169,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
     Equal fingerprints are one vertex. Links are found exactly: two fingerprints within the distance share one of the
     mask blocks, where pivot tables and then the bits themselves decide; blocks of any size are tiled over tasks and pass
-    on spanning forests, never all pairs. Null and empty texts have fingerprint zero, linked like any other. A null id gets
+    on spanning forests, never all pairs. Very long texts count whole; further columns, of any name, are ignored. Null and empty texts have fingerprint zero, linked like any other. A null id gets
     its component's smallest id (null if it has no other). Repeated rows each give a row; an empty table an empty one.
     """
     C.session(docs)
     fps = C.stage(fingerprints(docs, shingle, id_col, text_col))
     distinct = C.stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    settled = C.stage(components(links(distinct.select("fp"), distance)))
+    settled = components(links(distinct.select("fp"), distance))
     members = settled.select(F.col("child").alias("fp"), "root").unionByName(settled.select(F.col("root").alias("fp"), "root").distinct())
     smallest = C.stage(members.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id")))
     linked = C.stage(members.join(smallest, "root").select("fp", "component_id"))

@@ -124,7 +124,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str =
     Of equal payloads (by SHA-1) of at least min_bytes, the rows with the largest id are responses, the others refer to
     it. Digests that occur once never meet another row: only those that occur again, counted with partial sums, are joined,
     and Spark splits a digest with very many rows. Null html: an empty payload. Null urls give no target. A null id never
-    wins over another one; repeated rows of the largest id are all responses. An empty table writes nothing.
+    wins over another one; repeated rows of the largest id are all responses. Payloads of any length are whole records, a
+    frame ends behind the record that fills it. An empty table writes nothing; further columns, of any name, are ignored.
     """
     C.session(pages)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
