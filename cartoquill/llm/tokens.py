@@ -43,17 +43,18 @@ def _byte_letters() -> dict[int, str]:
 class Memo:
     """Encodes by the library: texts in batches (encode), or the segments between safe cuts, each once while it is remembered (sums).
 
-    make turns ids into what is kept, which must add up. For sums, words of letters go to the library's merging model itself,
-    as one pre-token; all others through its whole pipeline. Two generations of at most CACHE words bound the memory."""
+    make turns ids into what is kept, which must add up. For sums, words part into letters and the punctuation behind them;
+    these go to the library in batches (batched) or words of letters to its merging model itself, as one pre-token; words of
+    other kinds go to the library as they are. Two generations of at most CACHE words bound the memory."""
 
-    def __init__(self, path: str, make):
+    def __init__(self, path: str, make, batched: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.make, self.model = make, self.library.model
+        self.make, self.model, self.batched = make, self.library.model, batched
         self.letters = _byte_letters()
         self.plain = _is_byte_level(path)
         back = {c: b for b, c in self.letters.items()}
@@ -100,6 +101,8 @@ class Memo:
             self.old, self.new = self.new, {}
         new, old, slow = self.new, self.old, []
         missing = words.difference(new)
+        if self.batched:
+            self.prepare([w for w in missing if w not in old])
         for w in missing:
             if (v := old.get(w)) is not None:
                 new[w] = v
@@ -121,6 +124,22 @@ class Memo:
         self.long = [w for w in missing if len(w) > 100]
         return new
 
+    def prepare(self, words: list[str]) -> None:
+        """Encodes in batches what letters_of will ask for: the letters of these words, and the punctuation behind them."""
+        stems, tails = {}, set()
+        for w in words:
+            for k, part in enumerate(w.split("\n")):
+                stem = part.rstrip(TAIL)
+                if self.plain and stem.isalpha() and max(stem) < _LATIN:
+                    key = "\n" + stem if k else stem
+                    if key not in self.new and key not in self.old:
+                        stems[key] = stem if k else " " + stem
+                    if len(stem) < len(part) < len(stem) + 16:
+                        tails.add(part[len(stem) :])
+        self.new.update(zip(stems, self.encode_whole(list(stems.values())), strict=True))
+        more = [t for t in tails if t not in self.tails]
+        self.tails.update(zip(more, self.encode_whole(more), strict=True))
+
     def letters_of(self, front: str, word: str):
         """What is kept of a word of letters, with the punctuation behind it, in front of which a space may stand; None if it is another kind of word."""
         stem = word.rstrip(TAIL)
@@ -171,10 +190,10 @@ def _is_byte_level(path: str) -> bool:
     return j.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and j["model"].get("type") == "BPE" and not any(j["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in j.get("added_tokens", ()))
 
 
-def memo(path: str, kind: str, make) -> Memo:
-    if (path, kind) not in _made:
-        _made[path, kind] = Memo(path, make)
-    return _made[path, kind]
+def memo(path: str, kind: str, make, batched: bool = False) -> Memo:
+    if (path, kind, batched) not in _made:
+        _made[path, kind, batched] = Memo(path, make, batched)
+    return _made[path, kind, batched]
 
 
 def split(text: str) -> list[str]:
@@ -189,8 +208,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     A path ending in .json goes to the tokenizers library, in .model to sentencepiece; begin, end and added special
     tokens are left out, special strings inside texts are handled as the library does by default. Rows keep their
-    partitions (no shuffle); within an Arrow batch, parts of about equal bytes are encoded together, and only their lengths
-    are kept; texts of more than LONG characters are cut at safe places. Null text: empty, 0 bytes and 0 tokens. Null ids stay null; repeated rows each give a row;
+    partitions (no shuffle); within an Arrow batch, parts of about equal bytes go together: texts are cut at safe places, what
+    is not remembered of the segments between is encoded in batches, and only lengths are kept. Null text: empty, 0 bytes and 0 tokens. Null ids stay null; repeated rows each give a row;
     an empty table gives an empty one; further columns are ignored.
     """
     C.session(docs)
@@ -214,4 +233,5 @@ def _lengths(path: str, texts: list[str]) -> list[int]:
 
             _made["sp", path] = sentencepiece.SentencePieceProcessor(model_file=path)
         return [len(x) for x in _made["sp", path].encode(texts, num_threads=1)]
-    return memo(path, "n", len).encode(texts)
+    m = memo(path, "n", len, batched=True)
+    return [sum(x) for x in m.sums(texts)] if m.plain else m.encode(texts)
