@@ -222,10 +222,20 @@ class Transducer:
         return out if out and len(out[0]) == 1 else [run[at], *out]
 
     def shortest(self, run: str) -> list[int]:
-        """Ids of the shortest path through the lexicon composed with a run of normal characters.
+        """Ids of the shortest path through the lexicon composed with a run of normal characters."""
+        ids: list[int] = []
+        for p in self.furthest(run) if self.bpe else self.settled(run):
+            i = self.piece.get(p)
+            if i is not None:
+                ids.append(i)
+            elif self.fallback:
+                ids += [self.byte[b] for b in p.encode()]
+            elif not ids or ids[-1] != self.unknown:  # unknown characters side by side are one
+                ids.append(self.unknown)
+        return ids
 
-        States of the composition are places (with the last piece, for a BPE model); they are settled in order of places. Of
-        paths of equal weight the one that came first stays."""
+    def settled(self, run: str) -> list[str]:
+        """The shortest path, by settling the composition's states (places, with the last piece for a BPE model) in order of places. Of paths of equal weight the one that came first stays."""
         reached: list[dict] = [{} for _ in range(len(run) + 1)]
         reached[0][""] = (ONE, 0, "")
         pairs, weight, unknown = self.pairs, self.weight, self.unknown_weight
@@ -255,16 +265,35 @@ class Transducer:
             _, before, name = reached[at][state]
             path.append(state if self.bpe else name)
             at, state = before, name if self.bpe else ""
-        ids: list[int] = []
-        for p in reversed(path):
-            i = self.piece.get(p)
-            if i is not None:
-                ids.append(i)
-            elif self.fallback:
-                ids += [self.byte[b] for b in p.encode()]
-            elif not ids or ids[-1] != self.unknown:  # unknown characters side by side are one
-                ids.append(self.unknown)
-        return ids
+        return path[::-1]
+
+    def furthest(self, run: str) -> list[str]:
+        """The same path of a BPE model, by a search that takes the longest arcs first.
+
+        At most one path of finite weight leads to each place, so the first that reaches the end is the shortest, and a place
+        that has turned out to lead nowhere is never entered again."""
+        n, pairs, dead, stack, path = len(run), self.pairs, set(), [], []
+        at, state, options = 0, "", None
+        while at < n:
+            if options is None:
+                options = self.leaving(run, at)
+            known = pairs.get(state)
+            while options:
+                p = options.pop()
+                if at + len(p) not in dead:
+                    weight = known.get(p) if known is not None else None
+                    if (self.follows(state, p) if weight is None else weight) < ZERO:
+                        stack.append((at, state, options))
+                        path.append(p)
+                        at, state, options = at + len(p), p, None
+                        break
+            else:
+                dead.add(at)
+                if not stack:
+                    raise ValueError(f"no path through {run!r}")
+                at, state, options = stack.pop()
+                path.pop()
+        return path
 
     def word(self, word: str) -> bytes:
         """Ids (i32) of a run that begins with white space; cut where no piece spans two neighbours."""

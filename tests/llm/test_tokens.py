@@ -205,6 +205,14 @@ def test_any_text(machine, text):
         assert t.decode(ids) == text
 
 
+@settings(max_examples=200, deadline=None)
+@given(pieces)
+def test_both_searches_find_the_same_path(machine, text):
+    t, _ = machine
+    run = t.normaliser.run(text)
+    assert not run or t.furthest(run) == t.settled(run)
+
+
 def test_broken_bytes_decode_like_the_library(machine):
     t, m = machine
     for ids in ([t.byte[0xE4]], [t.byte[0xE4], t.byte[0xB8], t.byte[0xAD]], [1, 2, t.piece["▁a"]]):
