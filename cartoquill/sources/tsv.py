@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
+Address = Callable[[Column, Column], tuple[Column, Column]]
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line) of one text file, numbered from 0.
 
@@ -33,16 +39,34 @@ def fields_of(lines: DataFrame, n: int, strict: bool = False) -> DataFrame:
     return out.where(F.assert_true(F.size("f") == n).isNull()) if strict else out.where(F.size("f") == n)
 
 
-def read_poi(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """poi_id, text, x, y; the id is the line number."""
+def hook(name: str, otherwise: Callable) -> Callable:
+    """The function that "module:function" names, as private hashes and location maps are kept; another where there is no such module or function."""
+    module, _, function = name.partition(":")
+    try:
+        return getattr(importlib.import_module(module), function)
+    except (ImportError, AttributeError, ValueError):
+        return otherwise
+
+
+def as_they_are(x: Column, y: Column) -> tuple[Column, Column]:
+    return x, y
+
+
+def _located(rows: DataFrame, address: Address) -> DataFrame:
+    x, y = address(F.col("x"), F.col("y"))
+    return rows.withColumns({"x": x.cast("double"), "y": y.cast("double")})
+
+
+def read_poi(spark: SparkSession, path: str, strict: bool = False, address: Address = as_they_are) -> DataFrame:
+    """poi_id, text, x, y; the id is the line number. address maps locations, to anonymise them say."""
     rows = fields_of(numbered_lines(spark, path), 3, strict)
-    return rows.select(F.col("line_no").alias("poi_id"), text.clean(F.col("f")[0]).alias("text"), F.col("f")[1].cast("double").alias("x"), F.col("f")[2].cast("double").alias("y"))
+    return _located(rows.select(F.col("line_no").alias("poi_id"), text.clean(F.col("f")[0]).alias("text"), F.col("f")[1].cast("double").alias("x"), F.col("f")[2].cast("double").alias("y")), address)
 
 
-def read_queries(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_queries(spark: SparkSession, path: str, strict: bool = False, address: Address = as_they_are) -> DataFrame:
     """query_id, text, x, y, truths."""
     rows = fields_of(numbered_lines(spark, path), 4, strict)
-    return rows.select(F.col("line_no").alias("query_id"), text.clean(F.col("f")[0]).alias("text"), F.col("f")[1].cast("double").alias("x"), F.col("f")[2].cast("double").alias("y"), text.truth_list(F.col("f")[3]).alias("truths"))
+    return _located(rows.select(F.col("line_no").alias("query_id"), text.clean(F.col("f")[0]).alias("text"), F.col("f")[1].cast("double").alias("x"), F.col("f")[2].cast("double").alias("y"), text.truth_list(F.col("f")[3]).alias("truths")), address)
 
 
 def write_queries(queries: DataFrame, path: str) -> None:

@@ -89,3 +89,18 @@ def test_resources(tmp_path):
     assert (tmp_path / "out/data/a.json").read_text() == "{}" and (tmp_path / "out/data/b/x.txt").read_text() == "x" and len(found) == 2
     with pytest.raises(KeyError):
         stores.resources(str(tmp_path / "in"), "other", str(tmp_path / "out"))
+
+
+def test_hooks_for_hashes_and_locations(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cartoquill.functions import bloom
+    from cartoquill.sources import tsv
+
+    (tmp_path / "poi.txt").write_text("a b\t1.5\t2.5\nc\t3\t4\n")
+    half = lambda x, y: (x / 2, y / 2)
+    got = [tuple(r) for r in tsv.read_poi(spark, str(tmp_path / "poi.txt"), address=half).orderBy("poi_id").collect()]
+    assert [r[2:] for r in got] == [(0.75, 1.25), (1.5, 2.0)]
+    assert tsv.hook("no.such.module:f", half) is half and tsv.hook("math:nothing", half) is half and tsv.hook("math:sqrt", half)(4) == 2
+    private = lambda t, slices, bits: F.array(F.length(t) % bits)
+    assert spark.range(1).select(bloom.bloom(F.array(F.lit("abc"), F.lit("de")), hasher=private)).first()[0] == [2, 3]
