@@ -233,6 +233,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only()
         for batch in batches:
             yield C.table_rows(schema, [(i, *scan(t, plain, automata)) for i, t in zip(batch.column(0).to_pylist(), C.blobs(batch.column(1)), strict=True)])
 

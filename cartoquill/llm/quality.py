@@ -57,6 +57,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     names = [f"f{k}" for k in range(len(FEATURES))]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only()
         for batch in batches:
             x = np.array([statistics(t) for t in C.blobs(batch.column(1))], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x[:, k]) for k in range(x.shape[1])]], names=["doc_id", "doc_key", *names])

@@ -135,6 +135,7 @@ def _candidates(rows: DataFrame, width: int, n: int, bits: int) -> DataFrame:
     most_bytes = UNIT_BYTES
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only()
         for ids, keys, texts, _ in units(batches, most_bytes):
             h, place = distinct_windows(texts, width, bits)
             unit, doc = unit_of(ids, keys), ids[place]
@@ -157,6 +158,7 @@ def _candidates(rows: DataFrame, width: int, n: int, bits: int) -> DataFrame:
                 yield C.table_rows(_SENT, rows)
 
     def find(table: pa.Table) -> pa.Table:
+        C.only()
         cols = {c: table.column(c).to_pylist() for c in table.column_names}
         out, real = [], []
         for k, used in enumerate(cols["used"]):
@@ -176,6 +178,7 @@ def _candidates(rows: DataFrame, width: int, n: int, bits: int) -> DataFrame:
         return pa.Table.from_batches([C.table_rows(_BACK, out)])
 
     def gather(table: pa.Table) -> pa.Table:
+        C.only()
         keys, place, h = _unit_parts(table, split_local)
         order = np.lexsort((h, place))
         place, h = place[order], h[order]
@@ -191,6 +194,7 @@ def _decided(rows: DataFrame, width: int, n: int, bits: int) -> DataFrame:
     most_bytes = UNIT_BYTES
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only()
         for ids, keys, texts, hashes in units(batches, most_bytes):
             found = [digests(t, unpack_hashes(x), width, bits) for t, x in zip(texts, hashes, strict=True)]
             place = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
@@ -216,6 +220,7 @@ def _decided(rows: DataFrame, width: int, n: int, bits: int) -> DataFrame:
                 yield C.table_rows(_SENT, rows)
 
     def find(table: pa.Table) -> pa.Table:
+        C.only()
         cols = {c: table.column(c).to_pylist() for c in table.column_names}
         out, real = [], []
         for k, used in enumerate(cols["used"]):
@@ -237,6 +242,7 @@ def _decided(rows: DataFrame, width: int, n: int, bits: int) -> DataFrame:
         return pa.Table.from_batches([C.table_rows(_BACK, out)])
 
     def gather(table: pa.Table) -> pa.Table:
+        C.only()
         keys, place, at = _unit_parts(table, lambda b: unpack_pairs(b)[::-1])
         order = np.lexsort((at, place))
         return _by_document(keys, place[order], at[order].astype(C.U64), "hashes")
@@ -348,6 +354,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only()
         for batch in batches:
             out = []
             for i, text, removed in zip(batch.column(0).to_pylist(), C.blobs(batch.column(1)), batch.column(2).to_pylist(), strict=True):

@@ -204,6 +204,7 @@ def _sent(spark, rows: DataFrame, items: DataFrame, shortest: int, coverage: flo
     held = spark.sparkContext.broadcast([(r["item_id"], r["item"].encode()) for r in items.orderBy("item_id", "item").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only()
         known = Items(held.value, shortest)
         for batch in batches:
             ids, texts, keys = batch.column(0).to_pylist(), C.blobs(batch.column(1)), batch.column(2).to_pylist()
@@ -219,6 +220,7 @@ def _joined(rows: DataFrame, items: DataFrame, shortest: int, coverage: float) -
     rows = C.stage(rows.withColumn("row", F.monotonically_increasing_id()))
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only()
         for batch in batches:
             known = Items(list(zip(batch.column(0).to_pylist(), C.blobs(batch.column(1)), strict=True)), shortest)
             for width, (seed, item, place) in known.seeds.items():
@@ -229,6 +231,7 @@ def _joined(rows: DataFrame, items: DataFrame, shortest: int, coverage: float) -
     widths = [r[0] for r in seeds.select("width").distinct().collect()]
 
     def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only()
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), C.blobs(batch.column(1)), strict=True):
                 words, _ = C.word_hashes(text.translate(FOLD))
@@ -240,6 +243,7 @@ def _joined(rows: DataFrame, items: DataFrame, shortest: int, coverage: float) -
     both = C.stage(pairs.select("row", "item_key")).join(items, "item_key").join(rows, "row").select("doc_id", "doc_key", "text", "item_id", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only()
         for batch in batches:
             for doc_id, doc_key, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 known = Items([(item_id, item.encode())], shortest)

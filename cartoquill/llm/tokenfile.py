@@ -119,6 +119,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                     yield i, x if end_id is None else np.append(x, np.array([end_id], kind))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only(tokens._made)
         for done in shards_of(encoded(batches), folder, files.attempt(), data, width):
             yield C.table_rows(_WRITTEN, [done])
 

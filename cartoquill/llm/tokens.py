@@ -22,7 +22,7 @@ TAIL = ".,!%&*#$?;:"
 #: Letters below this are letters in every version of Unicode.
 _LATIN = "\u0250"
 CACHE, SLICE = 400_000, 200_000
-_made: dict[object, object] = {}
+_made: dict[object, object] = C.kept()
 
 
 #: Segments beyond so many characters are cut further.
@@ -215,6 +215,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     C.session(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only(_made)
         for batch in batches:
             sizes = [len(b) for b in C.blobs(batch.column(1))]
             texts = [t or "" for t in batch.column(1).to_pylist()]

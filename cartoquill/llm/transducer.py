@@ -34,7 +34,7 @@ UNKNOWN_PENALTY = 10.0
 CACHE, PAIRS = 250_000, 500_000
 #: The tropical semiring: plus is min, times is addition, ZERO leads nowhere, ONE costs nothing.
 ZERO, ONE = float("inf"), 0.0
-_made: dict[str, "Transducer"] = {}
+_made: dict[str, "Transducer"] = C.kept()
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, object]]:
@@ -360,6 +360,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     kept = "ids array<int>, " * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.only(_made)
         t = transducer(model_path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]

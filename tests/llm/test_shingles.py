@@ -83,3 +83,24 @@ def test_sketches_never_part_similar_sets():
         a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
         b = np.unique(np.concatenate((a[n // 10 :], rng.integers(0, 1 << 63, n // 20).astype(np.uint64))))
         assert np.bitwise_count(shingles.sketch(a) ^ shingles.sketch(b)).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_buckets_of_prefixes_are_even(spark, monkeypatch):
+    """Prefixes hold the smallest hashes, which ranges of hashes would put into a fifth of the buckets."""
+    monkeypatch.setattr(shingles.C, "buckets", lambda total: 40)
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(k, " ".join(f"w{x}" for x in rng.integers(1 << 40, size=2000))) for k in range(60)], "doc_id long, text string")
+    rows = shingles._described(shingles._rows(docs, "doc_id", "text")).where("kind = 1").select("bucket", "keys").collect()
+    held = np.bincount([r["bucket"] for r in rows], [len(shingles.unpack_hashes(r["keys"])) for r in rows], minlength=40)
+    assert held.sum() == 60 * (1996 - (4 * 1996 + 4) // 5 + 1) and held.max() < 1.5 * held.mean()
+
+
+def test_workers_keep_only_the_running_operators_memory(spark):
+    """A worker is used again for other stages; the models and words of an operator before went on taking room beside them."""
+    from cartoquill.llm import catalogue, tokens, transducer
+
+    transducer.transducer(catalogue._path("piece_bpe_32k.model")).encode("some words")
+    shingles.C.only(transducer._made)
+    assert transducer._made
+    shingles.C.only(tokens._made)
+    assert not transducer._made
