@@ -154,6 +154,8 @@ class Transducer:
             elif field == 3:
                 spec = dict(_fields(value))
                 dummy, squeeze, escape, rules = spec.get(3, 1), spec.get(4, 1), spec.get(5, 1), spec.get(2, b"")
+        if not self.text:
+            raise ValueError("the file holds no pieces")
         if kind_of_model not in (UNIGRAM, BPE) or not escape or fallback and len(self.byte) != 256 or kind_of_model == BPE and whole:
             raise ValueError("only unigram and BPE models that escape white space; BPE models without user-defined pieces")
         self.bpe, self.fallback = kind_of_model == BPE, bool(fallback)

@@ -279,3 +279,10 @@ def test_other_models_are_refused(tmp_path):
     (tmp_path / "m.model").write_bytes(b"")
     with pytest.raises(ValueError):
         transducer.Transducer(str(tmp_path / "m.model"))
+
+
+@pytest.mark.parametrize("content", [b"", proto(2, proto(3, 2)), proto(3, proto(3, 1))])
+def test_models_without_pieces_are_refused(tmp_path, content):
+    (tmp_path / "m.model").write_bytes(content)
+    with pytest.raises(ValueError, match="no pieces"):
+        transducer.Transducer(str(tmp_path / "m.model"))
