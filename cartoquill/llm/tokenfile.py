@@ -114,7 +114,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in C.parts([len(t) for t in texts], 1 << 20):
+            for a, b in C.parts([len(t) for t in texts], 4 << 20):
                 for i, x in zip(ids[a:b], encode(tokenizer_path, texts[a:b], kind), strict=True):
                     yield i, x if end_id is None else np.append(x, np.array([end_id], kind))
 

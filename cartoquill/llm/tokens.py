@@ -17,11 +17,13 @@ from . import common as C
 #: a space to what follows it, its other white-space branches end before it, and no special token holds a space.
 SAFE = re.compile(r" (?=\S)")
 _OTHER = re.compile(r"[^\S \n]")
+#: What _OTHER finds in ASCII.
+_WHITE = "\t\r\v\f\x1c\x1d\x1e\x1f"
 #: Punctuation that ends a word of letters parts from it before merging; apostrophes and what special tokens hold are left out.
 TAIL = ".,!%&*#$?;:"
 #: Letters below this are letters in every version of Unicode.
 _LATIN = "\u0250"
-CACHE, SLICE = 400_000, 200_000
+CACHE, SLICE = 800_000, 800_000
 _made: dict[object, object] = C.kept()
 
 
@@ -45,7 +47,8 @@ class Memo:
 
     make turns ids into what is kept, which must add up. For sums, words part into letters and the punctuation behind them;
     these go to the library in batches (batched) or words of letters to its merging model itself, as one pre-token; words of
-    other kinds go to the library as they are. Two generations of at most CACHE words bound the memory."""
+    other kinds go to the library as they are. Two generations of at most CACHE words bound the memory; words around
+    a line's end, which seldom repeat, are put together in each call anew and take no room there."""
 
     def __init__(self, path: str, make, batched: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +66,7 @@ class Memo:
         self.old: dict[str, object] = {}
         self.tails: dict[str, object] = {}
         self.line = self.one("\n") if self.plain else None
-        self.long: list[str] = []  # too long to remember beyond one call
+        self.passing: list[str] = []  # not remembered beyond one call: too long, or put together from what is
 
     def encode(self, texts: list[str]) -> list:
         """What is kept of each text, encoded in batches; long ones between safe cuts."""
@@ -90,22 +93,32 @@ class Memo:
         return [*out, text[begin:]] if begin < len(text) or not out else out
 
     def one(self, pre_token: str):
-        """What is kept of a pre-token."""
-        return self.make([t.id for t in self.model.tokenize(pre_token if pre_token.isascii() and pre_token[0] > " " else pre_token.encode().decode("latin-1").translate(self.letters))])
+        """What is kept of a pre-token: letters behind a space or none, signs, or a line's end."""
+        if not pre_token.isascii() or pre_token[0] < " ":
+            pre_token = pre_token.encode().decode("latin-1").translate(self.letters)
+        elif pre_token[0] == " ":
+            pre_token = self.letters[32] + pre_token[1:]
+        return self.make([t.id for t in self.model.tokenize(pre_token)])
 
     def learn(self, words: set[str]) -> dict[str, object]:
         """A dictionary that has all the words: of each, what is kept of it behind a space."""
-        for w in self.long:
+        for w in self.passing:
             self.new.pop(w, None)
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
-        new, old, slow = self.new, self.old, []
+        new, old, plain, slow, passing = self.new, self.old, self.plain, [], []
         missing = words.difference(new)
         if self.batched:
             self.prepare([w for w in missing if w not in old])
         for w in missing:
+            if w in new:
+                continue
             if (v := old.get(w)) is not None:
                 new[w] = v
+            elif plain and w.isalpha() and (w.isascii() or max(w) < _LATIN):
+                new[w] = self.one(" " + w)
+                if len(w) > 100:
+                    passing.append(w)
             elif "\n" in w:
                 first, *rest = w.split("\n")
                 v = self.letters_of(" ", first)
@@ -116,12 +129,15 @@ class Memo:
                     slow.append(w)
                 else:
                     new[w] = v
+                    passing.append(w)
             elif (v := self.letters_of(" ", w)) is not None:
                 new[w] = v
+                if len(w) > 100:
+                    passing.append(w)
             else:
                 slow.append(w)
         new.update(zip(slow, self.encode([" " + w for w in slow]), strict=True))
-        self.long = [w for w in missing if len(w) > 100]
+        self.passing = passing + [w for w in slow if len(w) > 100]
         return new
 
     def prepare(self, words: list[str]) -> None:
@@ -143,7 +159,7 @@ class Memo:
     def letters_of(self, front: str, word: str):
         """What is kept of a word of letters, with the punctuation behind it, in front of which a space may stand; None if it is another kind of word."""
         stem = word.rstrip(TAIL)
-        if not (self.plain and stem.isalpha() and max(stem) < _LATIN):
+        if not (self.plain and stem.isalpha() and (stem.isascii() or max(stem) < _LATIN)):
             return None
         key = stem if front else "\n" + stem
         v = self.new.get(key)
@@ -198,7 +214,7 @@ def memo(path: str, kind: str, make, batched: bool = False) -> Memo:
 
 def split(text: str) -> list[str]:
     """Segments of a text between safe cuts; all but the first stood behind a space, which is left out."""
-    if "  " in text or " \n" in text or text.endswith(" ") or _OTHER.search(text):
+    if "  " in text or " \n" in text or text.endswith(" ") or (any(c in text for c in _WHITE) if text.isascii() else _OTHER.search(text)):
         return SAFE.split(text)
     return text.split(" ")
 

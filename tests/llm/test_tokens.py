@@ -281,6 +281,16 @@ def test_other_models_are_refused(tmp_path):
         transducer.Transducer(str(tmp_path / "m.model"))
 
 
+def test_words_around_a_lines_end_take_no_room():
+    """Each such pair took a place of its own, so that the words of a corpus did not fit and were merged again and again."""
+    m = tokens.Memo(BPE, list)
+    text = "first " + " ".join(f"{w}{t}" for w in ("alpha", "beta", "été") for t in ("", ".", ",", "!?", ".\nalpha"))
+    assert sum(m.sums([text])[0], []) == library_once().encode(text, add_special_tokens=False).ids
+    m.learn(set())
+    kept = set(m.new) | set(m.old)
+    assert "\nalpha" in kept and {"alpha", "beta.", "été!?"} <= kept and not any("\n" in w[1:] for w in kept)
+
+
 @pytest.mark.parametrize("content", [b"", proto(2, proto(3, 2)), proto(3, proto(3, 1))])
 def test_models_without_pieces_are_refused(tmp_path, content):
     (tmp_path / "m.model").write_bytes(content)
