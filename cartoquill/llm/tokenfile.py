@@ -7,6 +7,7 @@ document; the index, a frame of its own: doc_id i64[n], frame offset u64[n], tok
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from array import array
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ NULL_ID = -(1 << 63)
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 16384, 32768
 #: A shard is closed when it holds so many bytes.
 SHARD_BYTES = 256 << 20
+#: Texts are encoded in parts of about so many characters.
+PART = 8 << 20
+#: So many new words of letters are merged at once.
+TOGETHER = 32
+_WHITE = re.compile(r"\s")
 
 
 def width_of(path: str) -> int:
@@ -53,9 +60,136 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None =
         return (ends + b"".join(samples))[-DICTIONARY_BYTES:]
 
 
+class Packed(tokens.Memo):
+    """Ids as bytes, of many texts at a time: their words in one Arrow dictionary, so that each different word is looked up once for a call.
+
+    A word stands behind a space or, its key then beginning with a line's end, behind that. Both are safe cuts, if no other
+    white space is near; texts that have such white space go through sums."""
+
+    def __init__(self, path: str, kind: str):
+        from tokenizers import Tokenizer
+
+        form = "H" if kind == "<u2" else "I"
+        super().__init__(path, lambda ids: array(form, ids).tobytes())
+        self.kind = kind
+        self.plain = self.plain and not any(c.isspace() for t in self.library.get_added_tokens_decoder().values() for c in t.content)
+        #: Merges what is given as one pre-token.
+        self.merger = Tokenizer(self.model)
+        space = self.letters[32]
+        self.begins = np.zeros(max(self.library.get_vocab(True).values(), default=0) + 1, bool)
+        self.begins[[i for t, i in self.library.get_vocab(False).items() if t.startswith(space)]] = True
+        ends = {a for a, b in self.inner if b == 32}
+        #: Letters that some token may hold together with a space behind them.
+        self.sticky = {c for c in map(chr, range(ord(tokens._LATIN))) if c.isalpha() and c.encode()[-1] in ends}
+
+    def pack(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if not self.plain:
+            return self.encode(texts)
+        out: list[bytes] = [b""] * len(texts)
+        for a, b in C.parts([len(t) for t in texts], PART):
+            if b - a > 1 or len(texts[a]) <= PART:
+                out[a:b] = self.pack_part(texts[a:b])
+            else:
+                out[a] = b"".join(x for c in _cut(texts[a]) for x in (self.pack_part([c]) if len(c) <= 2 * PART else self.sums([c])[0]))
+        return out
+
+    def pack_part(self, texts: list[str]) -> list[bytes]:
+        # A line's end before each text makes its first word one like others; its id is left out below.
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), ""), " ")
+        ends = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values, odd = self.values(words)
+        at = coded.indices.to_numpy()
+        bad = np.zeros(len(words), bool)
+        bad[odd] = True
+        bad = bad[at]
+        for k in np.flatnonzero(pc.starts_with(coded.dictionary, "\n").to_numpy(zero_copy_only=False)).tolist():
+            values[k] = self.line + values[k]
+            if words[k] == "\n":
+                bare = at == k
+                bad[1:] |= bare[1:] & bare[:-1]  # more line's ends in a row may be one pre-token
+        ids = pa.array(values, pa.binary()).take(coded.indices)
+        starts, data = np.frombuffer(ids.buffers()[1], np.int32)[ends].tolist(), memoryview(ids.buffers()[2] or b"")
+        skip = len(self.line)
+        out = [bytes(data[a + skip : b]) for a, b in zip(starts, starts[1:], strict=False)]
+        if bad.any():
+            some = np.unique(np.searchsorted(ends, np.flatnonzero(bad), "right") - 1).tolist()
+            for k, x in zip(some, self.sums([texts[k] for k in some]), strict=True):
+                out[k] = b"".join(x)
+        return out
+
+    def learn(self, words: set[str]) -> dict[str, object]:
+        """As Memo has it; words that hold white space are right between the cuts of sums alone and not remembered."""
+        known = super().learn(words)
+        self.passing += filter(_WHITE.search, words)
+        return known
+
+    def values(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """What is kept of different words, and at which places are none: empty ones, or such that hold white space."""
+        for w in self.passing:
+            self.new.pop(w, None)
+        self.passing = []
+        if len(self.new) > tokens.CACHE:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        values = list(map(new.get, words))
+        letters, others, slow, odd = [], [], [], []
+        for k in [k for k, v in enumerate(values) if v is None]:
+            w = words[k]
+            if (v := old.get(w)) is not None:
+                new[w] = values[k] = v
+            elif w.isalpha() and len(w) <= 100 and (w.isascii() or max(w) < tokens._LATIN) and w[-1] not in self.sticky:
+                letters.append(k)
+            else:
+                others.append(k)
+        for k, v in zip(letters, self.merged([words[k] for k in letters]), strict=True):
+            new[words[k]] = values[k] = v
+        for k in others:
+            w = words[k]
+            v = b"" if w == "\n" else self.letters_of("", w[1:]) if w[:1] == "\n" else self.letters_of(" ", w)
+            if v is not None:
+                new[w] = values[k] = v
+                if len(w) > 100:
+                    self.passing += [w, w.rstrip(tokens.TAIL)]
+            elif not w or _WHITE.search(w, w[0] == "\n"):
+                values[k] = b""
+                odd.append(k)
+            else:
+                slow.append(k)
+        for k, v in zip(slow, self.encode([w[1:] if w[0] == "\n" else " " + w for w in map(words.__getitem__, slow)]), strict=True):
+            values[k] = v
+            if len(words[k]) <= 100:
+                new[words[k]] = v
+        return values, odd
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """What is kept of words of letters, each behind a space. No token goes on over such a space, so that the library merges some words at once and parts of its ids begin where a space does."""
+        text = [" " + " ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        text = [t.replace(" ", self.letters[32]) if t.isascii() else t.encode().decode("latin-1").translate(self.letters) for t in text]
+        ids = np.array([i for e in self.merger.encode_batch_fast(text, add_special_tokens=False) for i in e.ids], self.kind)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(words):
+            return [self.one(" " + w) for w in words]
+        data, size = ids.tobytes(), ids.itemsize
+        ends = [*(starts * size).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _cut(text: str) -> Iterator[str]:
+    """A long text in parts that begin at safe cuts, about PART characters apart where there are such."""
+    begin = 0
+    while len(text) - begin > PART and (m := tokens.SAFE.search(text, begin + PART)):
+        yield text[begin : m.start()]
+        begin = m.start()
+    yield text[begin:]
+
+
 def encode(path: str, texts: list[str], kind: str) -> list[np.ndarray]:
-    m = tokens.memo(path, kind, lambda ids: array("H" if kind == "<u2" else "I", ids).tobytes())
-    return [np.frombuffer(b"".join(x), kind) for x in (m.sums(texts) if m.plain else zip(m.encode(texts), strict=True))]
+    if (path, kind) not in tokens._made:
+        tokens._made[path, kind] = Packed(path, kind)
+    return [np.frombuffer(x, kind) for x in tokens._made[path, kind].pack(texts)]
 
 
 class Writer:
@@ -114,7 +248,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in C.parts([len(t) for t in texts], 4 << 20):
+            for a, b in C.parts([len(t) for t in texts], PART):
                 for i, x in zip(ids[a:b], encode(tokenizer_path, texts[a:b], kind), strict=True):
                     yield i, x if end_id is None else np.append(x, np.array([end_id], kind))
 

@@ -171,6 +171,60 @@ def test_query_starts_follow_each_other(spark):
         at += r["n_tokens"]
 
 
+def ids_of(text):
+    return library_once().encode(text, add_special_tokens=False).ids
+
+
+def test_new_words_are_merged_in_groups(monkeypatch):
+    """Each new word went to the library by itself, and each word of a text through Python, which took more than op7's time."""
+    calls, one = [], tokens.Memo.one
+    monkeypatch.setattr(tokens.Memo, "one", lambda self, w: calls.append(w) or one(self, w))
+    tokens._made.clear()
+    letters = [a + b + c for a in "aBéàß" for b in "stuvwxyz" for c in "klmnoà"]
+    texts = [" ".join(letters), "\n".join(letters[:9]), " ".join(w + "." for w in letters)]
+    assert [x.tolist() for x in tokenfile.encode(BPE, texts, "<u2")] == [ids_of(t) for t in texts]
+    assert len(calls) < len(letters) / 2
+
+
+@pytest.mark.parametrize("part", [1 << 20, 40])
+def test_packed_odd_texts(monkeypatch, part):
+    monkeypatch.setattr(tokenfile, "PART", part)
+    more = ["a\n", "\na", "\n\na", "a\n\nb", "a\n\n\nb", "a\n b", "a \n b", "a\r\nb", "a\n\n b.\nC", " \n", "a\u2028b c", "à à\xa0 à", "voilà tout à la", "a\n<|endoftext|>\nb <|endoftext|> c", "z" * 300 + " z. " + "z" * 300 + ".", "it's\n'tis 's", "¹ ² ª º", "ǅ ʰ ɐ", "\n" * 9, "a" + " " * 9 + "b", "  ", "..", "é\u0301 e\u0301"]
+    m = tokenfile.Packed(BPE, "<u2")
+    for texts in (ODD + more, more[::-1], [], [""], [t + s for t in ODD + more for s in ("", " x", "\ny", "\n")]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in m.pack(texts)] == [ids_of(t) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", " ", "\n", "\n", "a", "the", "à", "Er", "'s", ",", ".", "!!", "1", "中", "\x1c", "\xa0", "\x85", "<|endoftext|>", "\t", "_", "ß"]), max_size=14).map("".join), max_size=6))
+def test_packed_as_the_library(texts):
+    assert [x.tolist() for x in tokenfile.encode(BPE, texts, "<u2")] == [ids_of(t) for t in texts]
+
+
+@pytest.mark.parametrize("white", ["\t", "\r", "\x0b", "\xa0", "\u3000"])
+def test_what_sums_learns_is_not_taken_for_a_packed_word(white):
+    m = tokenfile.Packed(BPE, "<u2")
+    for texts in ([f"a{white} b", f"a{white}c d"], [f"x a{white}\n"], [f"x a{white}\n\nb"], [f"x a{white}c\nd"]):
+        assert [np.frombuffer(x, "<u2").tolist() for x in m.pack(texts)] == [ids_of(t) for t in texts]
+    m.values([])
+    assert not any(white in w for w in [*m.new, *m.old])
+
+
+def test_packed_other_models():
+    t = library(WORDS)
+    assert [x.tolist() for x in tokenfile.encode(WORDS, ODD, "<u4")] == [t.encode(x, add_special_tokens=False).ids for x in ODD]
+
+
+def test_packed_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    m = tokenfile.Packed(BPE, "<u4")
+    for j in range(6):
+        texts = [" ".join(f"{a}{b}{c}{t}" for a in "abc" for b in "xyz" for t in ("", ".", "1"))[j * k :] for k in range(5) for c in "qr"] + ["y" * 500 + " z " + "y" * 500 + "."]
+        assert [np.frombuffer(x, "<u4").tolist() for x in m.pack(texts)] == [ids_of(t) for t in texts]
+    m.values([])
+    assert not any(len(w) > 200 for w in [*m.new, *m.old])
+
+
 # ---- op 2
 
 
