@@ -80,7 +80,8 @@ def curves(log: DataFrame) -> DataFrame:
 
 def sizes(node_bit: DataFrame, width: int = 2) -> DataFrame:
     """(depth, n_bits, megabytes) that sparse filters of so many bytes for each bit take."""
-    return node_bit.groupBy("depth").agg(F.count("*").alias("n_bits"), F.round(F.count("*") * width / 1e6, 6).alias("megabytes"))
+    n = F.sum(F.size("bits")) if "bits" in node_bit.columns else F.count("*")
+    return node_bit.groupBy("depth").agg(n.alias("n_bits"), F.round(n * width / 1e6, 6).alias("megabytes"))
 
 
 def throughput(seconds: DataFrame, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartoquill.functions import bloom, text
-from cartoquill.operators import datasets, dense, lexical, metrics, network, ranker, report, search, training, tree
+from cartoquill.operators import datasets, dense, lexical, metrics, network, ranker, report, scan, search, training, tree
 from cartoquill.sources import binary
 from cartoquill.streaming import search as streaming
 
@@ -94,6 +94,49 @@ def test_tree_and_beam(spark, world):
     assert merged.where("depth = 0").count() <= tree.build(poi, pb, width=4, levels=1)[0].where("depth = 0").count()
 
 
+def test_filters_held_as_arrays(spark, world):
+    """A row for each filter gives the rows that a row for each bit gives, and no step makes a row for each bit."""
+    poi, q, pb, qb = world
+    held = bloom.filters(poi, "text").where("size(bits) > 0")
+    assert {(r["poi_id"], b) for r in held.collect() for b in r["bits"]} == {tuple(r) for r in pb.select("poi_id", "bit").collect()}
+    node, edges, bits = tree.build(held, held, width=4)
+    plain, plain_edges, exploded = tree.build(poi, pb, width=4)
+    assert edges.exceptAll(plain_edges).isEmpty() and exploded.exceptAll(bits.select("depth", "node_id", F.explode("bits").alias("bit"))).isEmpty()
+    assert tree.density(bits, 100).exceptAll(tree.density(exploded, 100)).isEmpty() and report.sizes(bits).exceptAll(report.sizes(exploded)).isEmpty()
+    depths = node.agg(F.max("depth")).first()[0] + 1
+    beam = search.beam_search(node, edges, bits, q, qb, depths, 3)
+    assert beam.exceptAll(search.beam_search(plain, plain_edges, exploded, q, qb, depths, 3)).isEmpty()
+    weights = [network.Weights.random(bloom.SLICES * bloom.BITS, d) for d in range(depths)]
+    scored = [search.beam_search(node, edges, b, q, qb, depths, 3, text_score=network.scorer(network.node_index(node, b, weights), b, qb, network.Model.of(weights))) for b in (bits, exploded)]
+    assert scored[0].count() and scored[0].exceptAll(scored[1]).isEmpty()
+    found = search.overlap(held, qb)
+    assert found.exceptAll(pb.join(qb, "bit").groupBy("query_id", "poi_id").agg(F.count("*").alias("overlap"))).isEmpty() and found.count()
+    for made in (beam, found, search.exhaustive(held, q, held, qb)):
+        assert "Generate" not in made._jdf.queryExecution().toString()
+
+
+def test_best_of_batches():
+    r = np.random.default_rng(1)
+    score, ids = r.integers(0, 9, (3, 500)) / 8, r.permutation(500)
+    score[1, ::7] = np.nan
+    best = scan.Best(3, 20)
+    for a in range(0, 500, 37):
+        best.add(score[:, a : a + 37], ids[a : a + 37], np.broadcast_to(ids[a : a + 37] * 2, (3, len(ids[a : a + 37]))))
+    (batch,) = best.rows([5, 6, 7], "qisx")
+    got = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    want = [(q + 5, int(ids[i]), score[q, i], int(ids[i]) * 2) for q in range(3) for i in sorted((i for i in range(500) if score[q, i] == score[q, i]), key=lambda i: (-score[q, i], ids[i]))[:20]]
+    assert got == want
+
+
+def test_network_scores_in_steps(monkeypatch):
+    """So few numbers at a time that each node is a step of its own."""
+    m, r = network.Model.of([network.Weights.random(64, 3)]), np.random.default_rng(5)
+    args = np.sort(r.choice(64, 9, replace=False)), r.integers(-9000, 9000, (40, 32)), r.random((40, 9)) < 0.5, r.uniform(0, 3000, (40, 2))
+    whole = m.scores(0, *args).tolist()
+    monkeypatch.setattr(network.Model, "CELLS", 1)
+    assert m.scores(0, *args).tolist() == whole
+
+
 def slow_scores(m, depth, bits, nodes, has, xy):
     """The network's text scores, one number after the other."""
     clip = lambda x, most=127: max(0, min(most, x))
