@@ -98,6 +98,18 @@ def test_knn_and_range_join_against_brute_force(spark, a, b, k):
     assert {(r["a_id"], r["b_id"]) for r in geo.range_join(make(a), make(b), 20.0).collect()} == near
 
 
+def test_range_join_of_many_points_at_few_locations(spark, monkeypatch):
+    """Two locations of 300 and 200 points meet as a few rows, with two ids in each; distances are not computed by pairs of points."""
+    monkeypatch.setattr(geo, "TOGETHER", 50)
+    monkeypatch.setattr(geo, "MEET", 2)
+    a = spark.range(300).select("id", F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
+    b = spark.range(200).select("id", (F.col("id") % 4).cast("double").alias("x"), F.lit(0.5).alias("y"))
+    out = geo.range_join(a, b, 2.0, digits=3)
+    assert out.count() == out.distinct().count() == 300 * 150
+    assert {(r["b"], r["dist"]) for r in out.select((F.col("b_id") % 4).alias("b"), "dist").distinct().collect()} == {(0, 0.5), (1, 0.5), (2, 1.5)}
+    assert "collect_list" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_points(spark):
     none = spark.createDataFrame([], "id long, x double, y double")
     some = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double")
