@@ -35,6 +35,22 @@ def test_passages(spark, tmp_path):
     assert [tuple(r) for r in tsv.read_passages(spark, str(tmp_path / "p.tsv")).collect()] == [(1, "A text", "T")]
 
 
+@pytest.mark.parametrize("with_truths", [False, True])
+def test_dataset_files_are_read_in_ranges(spark, tmp_path, monkeypatch, with_truths):
+    """No task decodes a whole file: each range of rows is a batch of its own."""
+    monkeypatch.setattr(binary, "ROWS", 7)
+    lists = [[(i * k) % 997 for k in range(i % 5)] for i in range(100)]
+    truths = [list(range(i % 4)) for i in range(100)] if with_truths else None
+    (tmp_path / "d.bin").write_bytes(binary.encode_dataset(lists, [(i, -i) for i in range(100)], truths, 1000))
+    read = binary.read_dataset(spark, str(tmp_path / "d.bin"))
+    got = sorted(read.collect())
+    assert [(r["id"], r["bits"], r["x"], r["y"], r["truths"]) for r in got] == [(i, lists[i], float(i), float(-i), truths[i] if truths else []) for i in range(100)]
+    assert read.rdd.getNumPartitions() > 1
+    rows = spark.createDataFrame([(r["id"], r["bits"], r["x"], r["y"], r["truths"]) for r in got], read.schema)
+    binary.write_dataset(rows, str(tmp_path / "e.bin"), 1000, with_truths)
+    assert (tmp_path / "e.bin").read_bytes() == (tmp_path / "d.bin").read_bytes()
+
+
 def test_binary_round_trips(spark, tmp_path):
     (tmp_path / "d.bin").write_bytes(binary.encode_dataset([[1, 5], [], [7]], [(1, 2), (3, 4), (5, 6)], [[2], [], [0, 1]], 64))
     rows = binary.read_dataset(spark, str(tmp_path / "d.bin")).orderBy("id").collect()
