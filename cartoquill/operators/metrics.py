@@ -37,6 +37,11 @@ def per_query(queries: DataFrame, result: DataFrame, truths: DataFrame, names: d
     t = truths.select("query_id", item).distinct()
     n = t.groupBy("query_id").agg(F.count("*").alias("n_truth"))
     rows = result.select("query_id", "rank", item).join(t.withColumn("hit", F.lit(1)), ["query_id", item], "left").na.fill(0, ["hit"]).join(n, "query_id")
+    return of_hits(queries, rows, names)
+
+
+def of_hits(queries: DataFrame, rows: DataFrame, names: dict[str, tuple[str, int]]) -> DataFrame:
+    """As per_query, of results that tell hits: query_id, rank, hit (0 or 1), n_truth."""
     out = rows.groupBy("query_id").agg(*[METRICS[m](k).alias(name) for name, (m, k) in names.items()])
     return queries.select("query_id").join(out, "query_id", "left").na.fill(0.0, list(names))
 

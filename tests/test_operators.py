@@ -137,6 +137,32 @@ def test_network_scores_in_steps(monkeypatch):
     assert m.scores(0, *args).tolist() == whole
 
 
+def test_dense_searches_hold_little_at_once(spark, monkeypatch):
+    """With steps of 7 rows and queries as with one step; truths are counted by label, no pair of vectors of a label is a row."""
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.normal(0, 1, 4)], int(r.integers(0, 5)) if i else 9, float(r.uniform(0, 9)), float(r.uniform(0, 9))) for i in range(150)]
+    corpus = spark.createDataFrame(rows, "vec_id long, v array<double>, label int, x double, y double").cache()
+    queries, norm = corpus.where("vec_id % 5 = 0"), spark.createDataFrame([(10.0,)], "d_norm double")
+    searches = [lambda: dense.cosine_topk(corpus, queries, 8), *[lambda how=how: dense.cosine_distance_topk(corpus, queries, norm, 8, 0.4, how) for how in ("max", "min_max")], lambda: dense.positive_ranks(corpus, queries, dense.first_of_label(corpus, queries))]
+    assert sum(s().count() for s in searches) == 30 * 24 + 29
+    largest = []
+    add = scan.Best.add
+    monkeypatch.setattr(scan.Best, "add", lambda self, score, *more: (largest.append(score.shape), add(self, score, *more))[1])
+    monkeypatch.setattr(dense, "STEP", 7)
+    state, unit = dense.Bests(np.arange(20), 3), r.normal(0, 1, (20, 4))
+    state.add(lambda at: unit[at] @ unit.T, np.arange(20))
+    assert max(s[0] for s in largest) == 7 and sum(b.num_rows for b in state.rows()) == 60
+    label = {x[0]: x[2] for x in rows}
+    first = {x["query_id"]: x["vec_id"] for x in dense.first_of_label(corpus, queries).collect()}
+    assert first == {q: min(i for i in label if i != q and label[i] == label[q]) for q in label if q % 5 == 0 and q}
+    found, n = dense.labelled(dense.cosine_topk(corpus, queries, 8), corpus, queries)
+    assert {x["query_id"]: x["n_truth"] for x in n.collect()} == {q: sum(label[i] == label[q] for i in label) - 1 for q in label if q % 5 == 0 and q}
+    assert all(x["hit"] == (label[x["vec_id"]] == label[x["query_id"]]) for x in found.collect())
+    brute = {x[0]: np.array(x[1]) / np.linalg.norm(x[1]) for x in rows}
+    top = {(x["query_id"], x["rank"]): x["vec_id"] for x in found.collect()}
+    assert all([top[q, k + 1] for k in range(8)] == sorted((i for i in brute if i != q), key=lambda i: (-round(float(brute[q] @ brute[i]), 9), i))[:8] for q in range(0, 150, 5))
+
+
 def slow_scores(m, depth, bits, nodes, has, xy):
     """The network's text scores, one number after the other."""
     clip = lambda x, most=127: max(0, min(most, x))
