@@ -109,6 +109,10 @@ def test_filters_held_as_arrays(spark, world):
     weights = [network.Weights.random(bloom.SLICES * bloom.BITS, d) for d in range(depths)]
     scored = [search.beam_search(node, edges, b, q, qb, depths, 3, text_score=network.scorer(network.node_index(node, b, weights), b, qb, network.Model.of(weights))) for b in (bits, exploded)]
     assert scored[0].count() and scored[0].exceptAll(scored[1]).isEmpty()
+    asked, make = [], network.needed(node, bits, weights)
+    lazy = lambda ids, depth: (asked.append((depth, ids.select("node_id").distinct().count())), make(ids, depth))[1]
+    assert scored[0].exceptAll(search.beam_search(node, edges, bits, q, qb, depths, 3, text_score=network.scorer(lazy, bits, qb, network.Model.of(weights)))).isEmpty()
+    assert all(n <= 9 for d, n in asked if d) and len(asked) == depths  # only the candidates' nodes are embedded
     found = search.overlap(held, qb)
     assert found.exceptAll(pb.join(qb, "bit").groupBy("query_id", "poi_id").agg(F.count("*").alias("overlap"))).isEmpty() and found.count()
     for made in (beam, found, search.exhaustive(held, q, held, qb)):
